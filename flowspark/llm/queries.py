@@ -5,8 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowspark.llm import groups, runs
+from flowspark.llm import clusters, groups, overlap, runs
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    f = overlap.cross_split(spark, d)
+    return f.select(F.least("a", "b").alias("dialogue_id_a"), F.greatest("a", "b").alias("dialogue_id_b")).distinct()
+
+
+def p1_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.cross_split(spark, d)
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.report(overlap.cross_split(spark, d))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.found(spark, d)
+
+
+def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.described(spark, d)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
