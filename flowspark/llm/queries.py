@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm import clusters, groups, overlap, runs
+from flowspark.llm import clusters, groups, leaks, mixing, overlap, runs, toxicity
+from flowspark.sources.tables import read
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -51,6 +52,30 @@ def p5_runs(spark: SparkSession, d: str) -> DataFrame:
     return runs.repeated_turns(spark, d)
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(spark, read(spark, d, "documents"), read(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leak_report(spark, d)
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(spark, d)
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_report(spark, d)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.toxic_documents(spark, d)
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.rates(spark, d)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
