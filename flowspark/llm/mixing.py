@@ -152,7 +152,7 @@ def draw(docs: DataFrame, mix_targets: DataFrame, seed: int = 5) -> DataFrame:
     tmp = Scratch(spark, "mix")
     rates = tmp.put(fit.groupBy("mix_name").applyInPandas(_fit, "mix_name string, source string, lang string, topic string, rate double, full boolean").where("rate > 0"))
     x = docs.join(small_broadcast(rates), ["source", "lang", "topic"]).join(small_broadcast(t.select("mix_name", "source", "max_repeats")), ["mix_name", "source"])
-    whole = F.floor(F.col("rate") + 1e-9)
+    whole = F.floor(F.col("rate") + 1e-6)  # a rate at its limit is a whole number but for rounding
     # a fractional maximum of repeats holds for the source as a whole; a document is taken a whole number of times
     x = x.select("mix_name", "source", "doc_id", "tokens", whole.alias("whole"), F.greatest(F.col("rate") - whole, F.lit(0.0)).alias("p"), "full", F.xxhash64(F.lit(seed), "mix_name", "doc_id").alias("h"))
     x = x.withColumn("slice", -F.col("tokens") * SLICES + F.pmod("h", F.lit(SLICES)))
