@@ -38,8 +38,8 @@ LEXICON = {
     "insult": "ass asshole bastard bitch coward creep cretin dickhead dog dumbass fool freak fuck fucker halfwit idiot imbecile jerk loser moron parasite pig prick rat scum scumbag slut trash vermin whore worm idiota imbécil basura cerdo inútil puta versager idiot schwein abschaum dreckskerl",
     "degrading": "absolute brainless dirty disgusting dumb filthy miserable pathetic rotten spineless stupid ugly useless vile worthless inútil asqueroso tonto widerlicher nutzloser dummer",
     "group": "migrants foreigners refugees immigrants muslims jews christians unbelievers believers gay gays lesbians disabilities disabled women men villagers islands blacks gypsies extranjeros mujeres refugiados ausländer flüchtlinge frauen",
-    "hate": "animals vermin insects rats breed steal stink cheat blood nature boot cure torch vote sleeve mark houses rid lock round driven deserves keep mix echarlos raus",
-    "threat": "kill die dead burn break legs choke bag wait watch park sleep hurt hear disappear stopped breathing shoot beat fall hell muérete stirb",
+    "hate": "animals vermin insects rats breed steal stink cheat blood nature boot cure torch vote sleeve mark houses rid lock round driven deserves keep mix away good echarlos raus basura ungeziefer weggesperrt gesindel fuera",
+    "threat": "kill die dead burn break legs choke bag wait watch park sleep hurt hear disappear stopped breathing cage bars fed fall carry nobody shoot beat fall hell muérete stirb",
     "sexual": "sex sexy naked nude bare breasts thighs lips tongue belly horny moaned moan panting undress unbuttoned bed wet hard ass knees skin neck body bodies clothes strip desnuda cama nackt bett",
     "second": "you your yours yourself u ya tú tu te ti eres usted du dich dir dein deine bist",
     "first": "i me my myself mine we us our yo mi me ich mich mir mein meinem meine",
@@ -47,13 +47,16 @@ LEXICON = {
     "reported": "call called calling told said says saying says shouted shouts heard spoke say wrote apologised apologized used reported quoted asked stressed thought think feel feels practise believe dijo decía llamaba gritaba sagte nannte rief",
     "clinical": "client clients clienta medication nurse assault disclosed intimacy therapist session group couple accident asked interpreter side effects film colours farm sexual salud enfermera klientin sitzung nebenwirkung sexualleben intérprete rule never nobody name names",
     "things": "door week mood printer car phone weather traffic bus machine banging computer farm bulb walls traum",
-    "order": "stop shut get go send listen keep tell leave crawl die call wear come save vete cállate verpiss halt hau",
+    "order": "stop shut get go send listen keep tell leave crawl die call wear come save vete cállate verpiss halt hau maul mierda",
 }
 WORDS = {k: frozenset(v.split()) for k, v in LEXICON.items()}
 KINDS = list(WORDS)
 _STRONG = WORDS["insult"] | WORDS["degrading"] | WORDS["sexual"] | frozenset("whore slut cunt".split())
 
 _SENTENCE = re.compile(r"(?<=[.!?])[\s]+|[\r\n]+")
+_CAPITAL = re.compile(r"(?<=[^\W\d_A-Z])\s+(?=(?!I\b)[A-Z])")
+#: Blanks from which a sentence counts as long.
+LONG = 18
 _PREFIX = re.compile(r"^\s*[-*•]?\s*(?:\[\d+\]\s*\(\w+\)|[A-Z][a-z]+:)?\s*")
 _TOKEN = re.compile(r"[^\W_][\w$@!*|+'.]*[\w$@!*]|[\w$@*]+|[!?]+")
 _SPACED = re.compile(r"(?<![\w'])((?:[^\W\d_][ .\-_*]){2,}[^\W\d_])(?![\w'])")
@@ -106,7 +109,15 @@ def sentences(text: str | None) -> list[str]:
         return []
     if "&" in text:
         text = unescape(unescape(text))
-    return [s for s in (_PREFIX.sub("", x, count=1).strip() for x in _SENTENCE.split(text)) if s]
+    out = []
+    for x in _SENTENCE.split(text):
+        s = _PREFIX.sub("", x, count=1).strip()
+        if s:
+            out.append(s)
+            if s.count(" ") > LONG:  # a lost full stop: parts that begin with a capital count as well
+                parts = _CAPITAL.split(s)
+                out += [p for p in parts if p.count(" ") > 3] if len(parts) > 1 else []
+    return out
 
 
 def tokens(sentence: str) -> tuple[list[str], int]:
