@@ -81,7 +81,7 @@ def fenced_diagram(text: Column) -> Column:
     fences = F.regexp_extract_all(text, F.lit(r"(?s)```[a-zA-Z]*\s*\n(.*?)```"), F.lit(1))
     named = F.filter(fences, lambda f: f.rlike(r"(?i)\b(graph|flowchart)\b"))
     bare = F.regexp_extract(text, r"(?is)((?:graph|flowchart)\s.*)$", 1)
-    return F.trim(F.when(F.size(named) > 0, F.try_element_at(named, F.lit(-1))).when(F.size(fences) > 0, F.try_element_at(fences, F.lit(-1))).otherwise(bare))
+    return F.regexp_replace(F.when(F.size(named) > 0, F.try_element_at(named, F.lit(-1))).when(F.size(fences) > 0, F.try_element_at(fences, F.lit(-1))).otherwise(bare), r"^\s+|\s+$", "")
 
 
 def actor_of_node(node: Column) -> Column:

@@ -24,10 +24,13 @@ def canonical_json(value: object) -> str:
 
 
 def taxonomy_version(taxonomy: DataFrame) -> DataFrame:
-    """(corpus, version): digest of each corpus's labels in order; a changed label, description or order changes it."""
-    line = F.concat_ws("\u001f", "actor", F.col("ord").cast("string"), "label", F.coalesce("description", F.lit("")))
-    t = taxonomy.groupBy("corpus").agg(F.sort_array(F.collect_list(F.struct("actor", "ord", line.alias("line")))).alias("t"))
-    return t.select("corpus", F.substring(F.sha2(F.array_join("t.line", "\n"), 256), 1, VERSION_DIGITS).alias("version"))
+    """(corpus, version): digest of the canonical JSON of each corpus's labels by actor; a changed label, description or order changes it."""
+    quote = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1), F.lit("null"))
+    entry = F.concat(F.lit('{"description": '), quote("description"), F.lit(', "label": '), quote("label"), F.lit("}"))
+    t = taxonomy.groupBy("corpus", "actor").agg(F.sort_array(F.collect_list(F.struct("ord", entry.alias("e")))).alias("t"))
+    t = t.select("corpus", F.struct("actor", F.concat(quote("actor"), F.lit(": ["), F.array_join("t.e", ", "), F.lit("]")).alias("part")).alias("p"))
+    t = t.groupBy("corpus").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    return t.select("corpus", F.substring(F.sha2(F.concat(F.lit("{"), F.array_join("p.part", ", "), F.lit("}")), 256), 1, VERSION_DIGITS).alias("version"))
 
 
 def cache_key(model: Column, stage: Column, payload: Column) -> Column:
@@ -63,24 +66,32 @@ def recentre(points: DataFrame, assigned: DataFrame, anchors: DataFrame) -> Data
     return anchors.join(m, ["g", "anchor"], "left").select("g", "anchor", "ord", F.coalesce(normalised(F.col("_m")), F.col("vector")).alias("vector"))
 
 
-def align(spark: SparkSession, points: DataFrame, anchors: DataFrame, passes: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Assignments after up to `passes` recentrings, and (g, converged) per group; a group has converged when a pass changed none of its assignments.
+def align_history(spark: SparkSession, points: DataFrame, anchors: DataFrame, passes: int = 2) -> list[tuple[DataFrame, DataFrame]]:
+    """Assignments, and (g, converged) per group, before and after each of up to `passes` recentrings; it ends early when nothing moves.
 
-    points and anchors as in assign_anchors(). With no pass, nothing has converged.
+    points and anchors as in assign_anchors(). A group has converged when a pass changed none of its assignments; before the
+    first pass nothing has.
     """
     tmp = Scratch(spark, "align")
     p, a = tmp.put(points), tmp.put(anchors)
-    now = tmp.put(assign_anchors(p, a))
-    state = p.select("g").distinct().withColumn("converged", F.lit(False))
+    groups = p.select("g").distinct()
+    out = [(tmp.put(assign_anchors(p, a)), tmp.put(groups.withColumn("converged", F.lit(False))))]
     for _ in range(passes):
+        now = out[-1][0]
         a = tmp.put(recentre(p, now, a))
         nxt = tmp.put(assign_anchors(p, a))
-        moved = nxt.join(now.select("id", F.col("anchor").alias("old")), "id").where("anchor <> old").join(p.select("id", "g"), "id").select("g").distinct()
-        state = tmp.put(p.select("g").distinct().join(moved.withColumn("m", F.lit(True)), "g", "left").select("g", F.col("m").isNull().alias("converged")))
-        now = nxt
-        if moved.isEmpty():
+        moved = nxt.join(now.select("id", F.col("anchor").alias("old")), "id").where("anchor <> old").select("id")
+        moved = p.select("id", "g").join(moved, "id").select("g").distinct()
+        state = tmp.put(groups.join(moved.withColumn("m", F.lit(True)), "g", "left").select("g", F.col("m").isNull().alias("converged")))
+        out.append((nxt, state))
+        if state.where("not converged").isEmpty():
             break
-    return now, state
+    return out
+
+
+def align(spark: SparkSession, points: DataFrame, anchors: DataFrame, passes: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The last assignments and states of align_history()."""
+    return align_history(spark, points, anchors, passes)[-1]
 
 
 def coverage(assigned: DataFrame, anchors: DataFrame) -> DataFrame:

@@ -74,3 +74,46 @@ def segment(talk: DataFrame, centroids: DataFrame, min_run: int = 1) -> DataFram
     x = talk.join(near, ["flow_id", "dialogue_id", "turn"], "left").join(n, ["flow_id", "actor"], "left").fillna(0, ["n_buckets"])
     x = x.select("flow_id", "dialogue_id", "turn", "actor", "text", "vector", F.coalesce("bucket", F.lit("")).alias("bucket"), "n_buckets")
     return x.groupBy("flow_id", "dialogue_id").applyInPandas(_segment(min_run), "flow_id string, dialogue_id long, segment long, first_turn int, actor string, n_turns int, text string, vector array<double>")
+
+
+def substitution_costs(talk: DataFrame, centroids: DataFrame, alpha: float = 0.5) -> DataFrame:
+    """(flow_id, dialogue_id, turn, bucket, cost): alpha times the turn's distance to a same-actor bucket plus that bucket's distance to the turn's best one."""
+    c = centroids.select("flow_id", "actor", "bucket", "centroid")
+    best = nearest_bucket(talk, centroids).select("flow_id", "dialogue_id", "turn", F.col("bucket").alias("_best"))
+    d2 = c.join(c.select("flow_id", "actor", F.col("bucket").alias("_best"), F.col("centroid").alias("_c")), ["flow_id", "actor"])
+    d2 = small_broadcast(d2.select("flow_id", "actor", "bucket", "_best", "centroid", cosine_distance(F.col("centroid"), F.col("_c")).alias("_d2")))
+    x = talk.where("vector is not null").join(best, ["flow_id", "dialogue_id", "turn"]).join(d2, ["flow_id", "actor", "_best"])
+    return x.select("flow_id", "dialogue_id", "turn", "bucket", (F.lit(alpha) * (cosine_distance(F.col("vector"), F.col("centroid")) + F.col("_d2"))).alias("cost"))
+
+
+def _block_minima(key: tuple, talk: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
+    cols = ["flow_id", "dialogue_id", "turn", "bucket", "distance"]
+    if not len(talk) or not len(train):
+        return pd.DataFrame(columns=cols)
+    train = train.sort_values("bucket", kind="stable")
+    x, y = np.stack(talk["vector"].to_numpy()).astype(np.float64), np.stack(train["vector"].to_numpy()).astype(np.float64)
+    names, start = np.unique(train["bucket"].to_numpy(object), return_index=True)
+    d = 1 - x @ y.T / (np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None, :] + 1e-9)
+    m = np.minimum.reduceat(d, start, axis=1)
+    n, k = m.shape
+    return pd.DataFrame({"flow_id": key[0], "dialogue_id": np.repeat(talk["dialogue_id"].to_numpy(), k), "turn": np.repeat(talk["turn"].to_numpy(), k), "bucket": np.tile(names, n), "distance": m.ravel()}, columns=cols)
+
+
+def nearest_member(talk: DataFrame, train: DataFrame, block: int = 4096) -> DataFrame:
+    """(flow_id, dialogue_id, turn, bucket, distance): least distance of a turn to any utterance of each same-actor bucket of its flow.
+
+    Both sides are cut into blocks of about `block` rows per flow and actor; a task multiplies two blocks, and only the
+    minima per turn and bucket leave it.
+    """
+    keys = ["flow_id", "actor"]
+
+    def cut(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        n = df.groupBy(*keys).agg((F.floor(F.count(F.lit(1)) / block) + 1).cast("int").alias("_n"))
+        return df.join(n, keys).withColumn(name, F.pmod(F.xxhash64("dialogue_id", "turn"), F.col("_n")).cast("int")).drop("_n"), n
+
+    a, na = cut(talk.where("vector is not null").select(*keys, "dialogue_id", "turn", "vector"), "_i")
+    b, nb = cut(train.where("vector is not null").select(*keys, "dialogue_id", "turn", "bucket", "vector"), "_j")
+    a = a.join(nb, keys).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    b = b.select(*keys, "bucket", "vector", "_j").join(na, keys).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    m = a.groupBy(*keys, "_i", "_j").cogroup(b.groupBy(*keys, "_i", "_j")).applyInPandas(_block_minima, "flow_id string, dialogue_id long, turn int, bucket string, distance double")
+    return m.groupBy("flow_id", "dialogue_id", "turn", "bucket").agg(F.min("distance").alias("distance"))

@@ -60,7 +60,7 @@ def mann_whitney(scores: DataFrame, *keys: str) -> DataFrame:
     r = average_rank(scores.select(*keys, "pool", "score"), "score", *keys, out="rank")
     p = F.col("pool") == "positive"
     g = r.groupBy(*keys).agg(F.count_if(p).alias("n_pos"), F.count_if(~p).alias("n_neg"), F.sum(F.when(p, F.col("rank")).otherwise(0.0)).alias("r1"))
-    t = scores.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("k")).groupBy(*keys).agg(F.sum(F.col("k") * F.col("k") * F.col("k") - F.col("k")).alias("tie_term"))
+    t = scores.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("_k")).groupBy(*keys).agg(F.sum(F.col("_k") * F.col("_k") * F.col("_k") - F.col("_k")).alias("tie_term"))
     g = g.join(t, list(keys)).withColumn("u", F.col("r1") - F.col("n_pos") * (F.col("n_pos") + 1) / 2)
     return g.withColumn("rbc", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.lit(1.0) - F.lit(2.0) * F.col("u") / (F.col("n_pos") * F.col("n_neg")))).drop("r1")
 
@@ -90,7 +90,7 @@ def paired(a: DataFrame, b: DataFrame, key: str, least: int = 5) -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
     """(keys, rho, n): correlation of average ranks; null where either is constant."""
     r = average_rank(average_rank(df.select(*keys, x, y), x, *keys, out="_rx"), y, *keys, out="_ry")
-    return r.groupBy(*keys).agg(F.nanvl(F.corr("_rx", "_ry"), F.lit(None).cast("double")).alias("rho"), F.count(F.lit(1)).alias("n"))
+    return r.groupBy(*keys).agg(F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry")).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def length_matched(scores: DataFrame, *keys: str, width: int = 3, least: int = 5) -> DataFrame:
@@ -99,11 +99,11 @@ def length_matched(scores: DataFrame, *keys: str, width: int = 3, least: int = 5
     scores: (keys, pool, score, length). Bins need `least` scores of either pool; keys without such a bin have null and zeros.
     """
     p, q = F.col("pool") == "positive", F.col("pool") == "negative"
-    b = scores.groupBy(*keys, F.floor(F.col("length") / width).alias("bin")).agg(F.count_if(p).alias("np"), F.count_if(q).alias("nq"), F.sum(F.when(p, F.col("score"))).alias("sp"), F.avg(F.when(q, F.col("score"))).alias("mq"))
-    ok = (F.col("np") >= least) & (F.col("nq") >= least)
-    g = b.groupBy(*keys).agg(F.sum(F.when(ok, F.col("np") * F.col("mq"))).alias("a"), F.sum(F.when(ok, F.col("sp"))).alias("b"), F.sum(F.when(ok, F.col("np")).otherwise(0)).alias("kp"), F.sum(F.when(ok, F.col("nq")).otherwise(0)).alias("kq"), F.sum("np").alias("np"), F.sum("nq").alias("nq"), F.count_if(ok).alias("n_bins"))
+    b = scores.groupBy(*keys, F.floor(F.col("length") / width).alias("_bin")).agg(F.count_if(p).alias("_np"), F.count_if(q).alias("_nq"), F.sum(F.when(p, F.col("score"))).alias("_sp"), F.avg(F.when(q, F.col("score"))).alias("_mq"))
+    ok = (F.col("_np") >= least) & (F.col("_nq") >= least)
+    g = b.groupBy(*keys).agg(F.sum(F.when(ok, F.col("_np") * F.col("_mq"))).alias("_a"), F.sum(F.when(ok, F.col("_sp"))).alias("_b"), F.sum(F.when(ok, F.col("_np")).otherwise(0)).alias("_kp"), F.sum(F.when(ok, F.col("_nq")).otherwise(0)).alias("_kq"), F.sum("_np").alias("_np"), F.sum("_nq").alias("_nq"), F.count_if(ok).alias("n_bins"))
     zero = F.lit(0.0)
-    return g.select(*keys, F.when(F.col("b") > 0, F.col("a") / F.col("b")).alias("lm_ratio"), F.coalesce(F.try_divide("kp", "np"), zero).alias("coverage"), F.coalesce(F.try_divide("kq", "nq"), zero).alias("out_coverage"), "n_bins")
+    return g.select(*keys, F.when(F.col("_b") > 0, F.col("_a") / F.col("_b")).alias("lm_ratio"), F.coalesce(F.try_divide("_kp", "_np"), zero).alias("coverage"), F.coalesce(F.try_divide("_kq", "_nq"), zero).alias("out_coverage"), "n_bins")
 
 
 def _by_key(scores: DataFrame, keys: tuple[str, ...], f, out: str) -> DataFrame:

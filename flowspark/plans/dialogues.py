@@ -191,7 +191,8 @@ def multi_split_sample(spark: SparkSession, d: str) -> DataFrame:
     return S.multi_split(i, "stratum", "dialogue_id", 3)
 
 
-@query(r"SELECT corpus, left(sha256(string_agg(concat_ws(chr(31), actor, ord, label, coalesce(description, '')), chr(10) ORDER BY actor, ord)), 16) AS version FROM taxonomy GROUP BY corpus")
+@query("""WITH e AS (SELECT corpus, actor, string_agg('{"description": ' || coalesce(to_json(description)::VARCHAR, 'null') || ', "label": ' || to_json(label)::VARCHAR || '}', ', ' ORDER BY ord) AS t FROM taxonomy GROUP BY corpus, actor)
+SELECT corpus, left(sha256('{' || string_agg('"' || actor || '": [' || t || ']', ', ' ORDER BY actor) || '}'), 16) AS version FROM e GROUP BY corpus""")
 def taxonomy_hash(spark: SparkSession, d: str) -> DataFrame:
     return L.taxonomy_version(read(spark, d, "taxonomy"))
 

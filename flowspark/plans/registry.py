@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "discrimination_ratio"
 #: Modules with QUERIES (name to callable) and SQL (name to text).
-MODULES = ["flows", "dialogues", "hierarchies", "windows"]
+MODULES = ["flows", "dialogues", "reports", "hierarchies", "windows"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
