@@ -33,8 +33,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters encoded at once: longer texts are cut at blanks, which tokens rarely cross.
 PIECE = 100_000
-#: Raking rounds, and slices of a source for running totals.
-ROUNDS, SLICES = 60, 8
+#: Raking rounds, the greatest factor by which raking may change a cell's share of its source, slices for running totals.
+ROUNDS, TRIM, SLICES = 60, 5.0, 8
 
 
 def _counts(folder: str, vocabulary: str):
@@ -91,11 +91,13 @@ def rake(tokens: np.ndarray, cap: np.ndarray, source: np.ndarray, want: np.ndarr
         return w * np.where(over > want, want / np.where(over > 0, over, 1), 1)[source]
 
     total = want.sum()
+    low, high = w / TRIM, np.minimum(w * TRIM, cap)  # marginals that cannot be met must not empty or flood a cell
     for _ in range(rounds):
         old = w
         for code, share in others:
             have = np.bincount(code, w, len(share))
             w = np.minimum(w * np.where(have > 0, share * total / np.where(have > 0, have, 1), 1)[code], cap)
+        w = np.clip(w, low, high)
         over = np.bincount(source, w, n)
         w = to_sources(np.minimum(w * np.where(over > 0, want / np.where(over > 0, over, 1), 1)[source], cap))
         if np.abs(w - old).max(initial=0) <= 1e-6 * max(total, 1) / max(len(w), 1):

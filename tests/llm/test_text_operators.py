@@ -198,14 +198,22 @@ def test_raking():
     rng = np.random.default_rng(1)
     tokens = rng.integers(10, 1000, 60).astype(float)
     source, lang = np.arange(60) % 4, np.arange(60) // 4 % 3
-    want = np.array([3000.0, 1000.0, 2000.0, 1e9])
+    want = np.array([3000.0, 1000.0, 2000.0, 1500.0])
     cap = tokens * 3
     w = M.rake(tokens, cap, source, want, [(lang, np.array([0.5, 0.3, 0.2]))])
-    assert (w <= cap + 1e-6).all()
-    sums = np.bincount(source, w, 4)
-    assert sums[:3] == pytest.approx(want[:3], rel=1e-6) and sums[3] == pytest.approx(cap[source == 3].sum())
-    free = np.bincount(lang[source < 3], w[source < 3], 3)
-    assert free / free.sum() == pytest.approx([0.5, 0.3, 0.2], abs=0.15)
+    assert (w <= cap + 1e-6).all() and (w > 0).all()
+    assert np.bincount(source, w, 4) == pytest.approx(want, rel=1e-6)
+    shares = np.bincount(lang, w, 3) / w.sum()
+    assert shares == pytest.approx([0.5, 0.3, 0.2], abs=0.02)
+
+
+def test_raking_of_an_exhausted_source():
+    tokens = np.full(24, 100.0)
+    source, lang = np.arange(24) % 4, np.arange(24) // 4 % 3
+    want = np.array([300.0, 100.0, 200.0, 1e9])
+    w = M.rake(tokens, tokens * 3, source, want, [(lang, np.array([0.9, 0.1, 0.0]))])
+    assert np.bincount(source, w, 4) == pytest.approx([300, 100, 200, 1800], rel=1e-6)
+    assert (w > 0).all() and (w <= 300 + 1e-6).all()
 
 
 def test_mix(spark):
