@@ -98,8 +98,23 @@ isl AS (SELECT *, sum(new) OVER (PARTITION BY d ORDER BY o) AS k FROM fl)
 """
 
 
+_P2 = """
+u AS (SELECT utt_id, embedding::DOUBLE[] AS v FROM (SELECT *, row_number() OVER (PARTITION BY utt_id ORDER BY loaded_at DESC) AS rn FROM utterances WHERE utt_id IS NOT NULL) WHERE rn = 1 AND embedding IS NOT NULL),
+n AS (SELECT utt_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))::DOUBLE[96] AS v FROM u WHERE list_dot_product(v, v) > 0),
+ve AS (SELECT a.utt_id AS a, b.utt_id AS b FROM n a JOIN n b ON array_inner_product(a.v, b.v) >= 0.75),
+vr(a, b) AS (SELECT a, b FROM ve UNION SELECT r.a, e.b FROM vr r JOIN ve e ON e.a = r.b),
+vc AS (SELECT a, min(b) AS c FROM vr GROUP BY a HAVING count(*) >= 3),
+t AS (SELECT DISTINCT bucket_id AS id, lower(trim(regexp_replace(x, '^\\s+|\\s+$', '', 'g'))) AS x FROM (SELECT bucket_id, unnest(utterances) AS x FROM intent_buckets) WHERE x IS NOT NULL),
+s AS (SELECT id, x FROM t WHERE x <> ''), k AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+se AS (SELECT a.id AS a, b.id AS b FROM s a JOIN s b USING (x) JOIN k ka ON ka.id = a.id JOIN k kb ON kb.id = b.id GROUP BY a.id, b.id, ka.n, kb.n HAVING count(*) >= 0.5 * (ka.n + kb.n - count(*))),
+sr(a, b) AS (SELECT a, b FROM se UNION SELECT r.a, e.b FROM sr r JOIN se e ON e.a = r.b),
+sc AS (SELECT a, min(b) AS c FROM sr GROUP BY a HAVING count(*) >= 2)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": f"WITH RECURSIVE {_P2} SELECT 'utterance' AS record_kind, a::VARCHAR AS record_id, c::VARCHAR AS cluster_id FROM vc UNION ALL SELECT 'bucket', a, c FROM sc",
         "p4_found": f"WITH RECURSIVE {_P4} SELECT a AS dialogue_id, min(b) AS group_id FROM reach GROUP BY a",
         "p5_found": f"WITH {_P5} SELECT d AS dialogue_id, min(o)::INT AS first_turn, max(o)::INT AS last_turn FROM isl GROUP BY d, k HAVING count(*) > 1",
         "p5_runs": f"""WITH {_P5} SELECT d AS dialogue_id, min(o)::INT AS first_turn, max(o)::INT AS last_turn, min(side) AS actor, min(label) AS label, count(*) AS n_turns,
