@@ -64,6 +64,24 @@ def test_hot_phrases_do_not_hide_copies(spark):
     assert {(x.a, x.b) for x in O.copied(pairs).collect()} == {(10, 500)}
 
 
+def replaced(r, turns):
+    """One word of every turn replaced."""
+    out = []
+    for a, x in turns:
+        w = x.split()
+        w[r.randrange(len(w))] = "other" + str(r.randrange(9))
+        out.append((a, " ".join(w)))
+    return out
+
+
+def test_many_changed_copies_on_both_sides(spark):
+    r = random.Random(9)
+    base = conversation(r, 14, 16)
+    rows = [(i, i < 60, packed(replaced(r, base))) for i in range(90)]
+    pairs, _ = O.overlaps(spark, spark.createDataFrame(rows, "id long, train boolean, turns string"))
+    assert O.copied(pairs).count() == 60 * 30
+
+
 @pytest.mark.parametrize(("a", "b", "same"), [("one two three four", "one two three four", True), ("one two three four five", "one too three four five", True), ("one two three four", "five six seven eight", False), ("", "", False), ("seventeen", "seventen", True)])
 def test_same_turn(a, b, same):
     assert O.same_turn(a.split(), b.split()) is same
