@@ -123,6 +123,24 @@ def test_hot_vector_cluster_is_chunked(spark, monkeypatch):
     assert {(x.cluster, x.size) for x in K.vector_clusters(spark, df).collect()} == {(0, 400)}
 
 
+def test_vectors_match_all_pairs_in_a_hot_place(spark, monkeypatch):
+    monkeypatch.setattr(K, "CHUNK", 60)
+    rng = np.random.default_rng(6)
+    hot = unit(rng.standard_normal(48))
+    x = [unit(hot + 0.5 * unit(rng.standard_normal(48))) for _ in range(200)]
+    for _ in range(60):  # small clusters at the edge of the hot one
+        c = unit(hot + 1.2 * unit(rng.standard_normal(48)))
+        x += [unit(c + rng.uniform(0.45, 0.6) * unit(rng.standard_normal(48))) for _ in range(3)]
+    x = np.array(x, np.float32)
+    comp = np.arange(len(x))
+    near = x @ x.T >= K.COSINE
+    for _ in range(len(x)):
+        comp = np.where(near, comp[None, :], len(x)).min(1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>")
+    got = K.vector_clusters(spark, df, split_loose=False, medoids=False).collect()
+    assert {r.id: r.cluster for r in got} == dict(enumerate(comp.tolist()))
+
+
 def test_vectors_of_nothing(spark):
     assert K.vector_clusters(spark, spark.createDataFrame([], "id long, vector array<float>")).count() == 0
     assert K.vector_clusters(spark, spark.createDataFrame([(1, [0.0])], "id long, vector array<float>")).count() == 0
