@@ -82,6 +82,40 @@ def test_many_changed_copies_on_both_sides(spark):
     assert O.copied(pairs).count() == 60 * 30
 
 
+@pytest.mark.parametrize("words", [6, 8, 10, 12, 16])
+def test_copies_changed_in_every_turn_are_proposed(words):
+    """One word of every turn of the held-out copy replaced: pairs with chains in common from enough places."""
+    r = random.Random(words)
+    found = 0
+    for _ in range(300):
+        base = conversation(r, 14, words)
+        held = replaced(r, base)
+        n, seeds = np.array([14]), lambda c: O.turn_seeds([x.split() for _, x in c])
+        _, ka, _ = O.chains(seeds(base), n)
+        _, kb, at = O.chains(seeds(held), n)
+        places = int(np.bitwise_or.reduce(at[np.isin(kb, ka)])) if np.isin(kb, ka).any() else 0
+        found += bin(places).count("1") >= 3
+    assert found / 300 >= 0.95, found
+
+
+def test_hot_chains_lose_no_pair(spark):
+    r = random.Random(12)
+    base = [conversation(r, 9, 10) for _ in range(6)]
+    rows = [(i, i % 5 > 0, packed(replaced(r, base[i % 6]) if i % 4 else base[i % 6])) for i in range(72)]
+    rows += [(100 + i, i % 2 == 0, packed(base[0][:4] + conversation(r, 5, 10))) for i in range(8)]
+    df = spark.createDataFrame(rows, "id long, train boolean, turns string")
+    free, limited = ({(x.a, x.b) for x in O.copied(O.overlaps(spark, df, limit)[0]).collect()} for limit in (1 << 40, 1))
+    assert len(free) > 100 and free <= limited
+
+
+def test_short_records_overlap(spark):
+    r = random.Random(13)
+    c = conversation(r, 4, 7)
+    rows = [(1, True, packed(c[:1])), (2, False, packed(c[:1] + [("user", "hm")])), (3, False, packed(replaced(r, c[:1]))), (4, True, packed(c[1:3])), (5, False, packed(c[1:4])), (6, True, packed(c)), (7, False, packed([c[0], c[1], c[3]]))]
+    pairs, _ = O.overlaps(spark, spark.createDataFrame(rows, "id long, train boolean, turns string"))
+    assert {(x.a, x.b) for x in O.copied(pairs).collect()} == {(1, 3), (4, 5), (6, 5), (6, 7)}
+
+
 @pytest.mark.parametrize(("a", "b", "same"), [("one two three four", "one two three four", True), ("one two three four five", "one too three four five", True), ("one two three four", "five six seven eight", False), ("", "", False), ("seventeen", "seventen", True)])
 def test_same_turn(a, b, same):
     assert O.same_turn(a.split(), b.split()) is same
