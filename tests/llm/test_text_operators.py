@@ -128,13 +128,11 @@ def unit(x):
 def test_vector_clusters(spark):
     rng = np.random.default_rng(3)
     centres = unit(rng.standard_normal((8, 48)))
-    rows, truth = [], {}
-    i = 0
+    rows, i = [], 0
     for c, n in zip(centres, [60, 25, 12, 8, 5, 5, 4, 3]):
         noise = unit(rng.standard_normal((n, 48)))
         for v in unit(c + 0.35 * noise):
             rows.append((i, (v * rng.uniform(0.2, 4)).astype(np.float32).tolist(), "x"))
-            truth[i] = i - len([k for k in truth.values() if False])
             i += 1
     starts = np.cumsum([0, 60, 25, 12, 8, 5, 5, 4])
     want = {k: int(starts[np.searchsorted(starts, k, side="right") - 1]) for k in range(i)}
@@ -148,31 +146,85 @@ def test_vector_clusters(spark):
     assert got == want
 
 
-def test_hot_vector_cluster_is_chunked(spark, monkeypatch):
-    monkeypatch.setattr(K, "CHUNK", 50)
+def components(x, least=K.COSINE):
+    comp, near = np.arange(len(x)), x @ x.T >= least
+    while True:
+        new = np.where(near, comp[None, :], len(x)).min(1)
+        if (new == comp).all():
+            return comp
+        comp = new
+
+
+def test_hot_vector_cluster_is_cut(spark):
     rng = np.random.default_rng(4)
     c = unit(rng.standard_normal(32))
     x = unit(c + 0.3 * unit(rng.standard_normal((400, 32)))).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>")
-    assert {(x.cluster, x.size) for x in K.vector_clusters(spark, df).collect()} == {(0, 400)}
+    assert {(r.cluster, r.size) for r in K.vector_clusters(spark, df, bucket=50).collect()} == {(0, 400)}
 
 
-def test_vectors_match_all_pairs_in_a_hot_place(spark, monkeypatch):
-    monkeypatch.setattr(K, "CHUNK", 60)
-    rng = np.random.default_rng(6)
+def hot_place(rng):
     hot = unit(rng.standard_normal(48))
     x = [unit(hot + 0.5 * unit(rng.standard_normal(48))) for _ in range(200)]
     for _ in range(60):  # small clusters at the edge of the hot one
         c = unit(hot + 1.2 * unit(rng.standard_normal(48)))
         x += [unit(c + rng.uniform(0.45, 0.6) * unit(rng.standard_normal(48))) for _ in range(3)]
-    x = np.array(x, np.float32)
-    comp = np.arange(len(x))
-    near = x @ x.T >= K.COSINE
-    for _ in range(len(x)):
-        comp = np.where(near, comp[None, :], len(x)).min(1)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>")
-    got = K.vector_clusters(spark, df, split_loose=False, medoids=False).collect()
-    assert {r.id: r.cluster for r in got} == dict(enumerate(comp.tolist()))
+    return np.array(x, np.float32)
+
+
+@pytest.mark.parametrize("bucket", [None, 60])
+def test_vectors_match_all_pairs_in_a_hot_place(spark, bucket):
+    """Of one bucket, also if it is cut into parts, all pairs are compared: rows outside the core visit the other parts."""
+    x = hot_place(np.random.default_rng(6))
+    v = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>")
+    tmp = K.Scratch(spark, "test")
+    coded = tmp.put(v.mapInArrow(K._encode(48, 1, 0, 0), K.CODED)).selectExpr("explode(keys) as key", "id", "code")
+    if bucket:
+        hot = tmp.put(coded.groupBy("key").agg(K.F.count("*").alias("n")))
+        links = K._hot_links(coded, hot, 48, K.COSINE, tmp, bucket)
+    else:
+        links = coded.repartition("key").sortWithinPartitions("key", "id").mapInPandas(K._compare(48, K.COSINE, ["key"]), K.LINKS)
+    links = [(r.a, r.b) for r in links.collect() if r.sure or x[r.a] @ x[r.b] >= K.COSINE]
+    assert all(x[a] @ x[b] >= K.COSINE or components(x)[a] == components(x)[b] for a, b in links)
+    comp = K._contract(np.arange(len(x)), np.array([a for a, _ in links]), np.array([b for _, b in links]))
+    assert (comp == components(x)).all()
+
+
+@pytest.mark.parametrize("cosine", [0.75, 0.78, 0.82])
+@pytest.mark.parametrize(("rows", "bucket"), [(40, None), (40, 30)])
+def test_pairs_meet_with_the_stated_recall(spark, monkeypatch, cosine, rows, bucket):
+    """Pairs that nothing but their own link holds together, in many buckets of a band and with large buckets cut."""
+    monkeypatch.setattr(K, "WHOLE", rows)
+    monkeypatch.setattr(K, "SPREAD", 10**9)
+    rng = np.random.default_rng(int(cosine * 100))
+    a, b = unit(rng.standard_normal((2, 1000, 96)))
+    b = unit(b - (a * b).sum(1)[:, None] * a)
+    b = (cosine + 1e-6) * a + np.sqrt(1 - (cosine + 1e-6) ** 2) * b
+    rows = [(2 * i + k, v.tolist()) for i, p in enumerate(zip(a, b)) for k, v in enumerate(p)]
+    assert K.plan(2000, 96, 40)[1] >= 1
+    got = K.vector_clusters(spark, spark.createDataFrame(rows, "id long, vector array<float>"), split_loose=False, medoids=False, bucket=bucket)
+    assert got.where("size = 2 and cluster % 2 = 0 and (id = cluster or id = cluster + 1)").count() / 2000 >= 0.93
+
+
+def test_components_of_a_bucket_match_all_pairs(monkeypatch):
+    monkeypatch.setattr(K, "SMALL", 130)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([hot_place(rng), hot_place(rng), unit(rng.standard_normal((150, 48))).astype(np.float32)])
+    assert (K.local_clusters(x) == components(x)).all()
+    x = unit(np.repeat(rng.standard_normal((1, 48)), 700, 0) + 0.02 * rng.standard_normal((700, 48))).astype(np.float32)
+    assert (K.local_clusters(x) == 0).all()
+
+
+def test_large_buckets_are_taken_apart(monkeypatch):
+    monkeypatch.setattr(K, "WHOLE", 300)
+    monkeypatch.setattr(K, "SMALL", 130)
+    rng = np.random.default_rng(9)
+    a = unit(rng.standard_normal((2000, 96)))
+    b = unit(rng.standard_normal((2000, 96)))
+    b = unit(b - (a * b).sum(1)[:, None] * a)
+    x = np.concatenate([a, 0.76 * a + np.sqrt(1 - 0.76**2) * b]).astype(np.float32)
+    comp = K.local_clusters(x)
+    assert (comp[2000:] == np.arange(2000)).mean() >= 0.95
 
 
 def test_vectors_of_nothing(spark):
