@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,16 @@ from flowspark.sources.tables import NO_DIALOGUE, canonical_name, latest, read
 CURRENT_VERSIONS = ["TV_v1", "STAR_v2"]
 
 
+class Hashed(dict):
+    """64-bit hashes of words, kept while there is room."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[w] = xxhash.xxh64_intdigest(w)
+        return h
+
+
 def turns(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """Latest deliveries of the turns of known dialogues: (dialogue_id, turn, *columns)."""
     t = latest(read(spark, d, "utterances"), "utt_id", "dialogue_id", "turn", *columns)

@@ -305,6 +305,8 @@ def test_leaks(spark):
     i = spark.createDataFrame(items, "item_id long, text string")
     got = {(x.doc_id, x.item_id) for x in L.leaks(spark, d, i).collect()}
     assert got == {(1, 0), (3, 2), (4, 3), (9, 5), (10, 0)}
+    assert {(x.doc_id, x.item_id) for x in L.leaks(spark, d, i, most=1).collect()} == got
+    assert L.leaks(spark, d.limit(0), i, most=1).count() == 0
     assert L.leaks(spark, d, i.limit(0)).count() == 0 and L.leaks(spark, d.limit(0), i).count() == 0
 
 
@@ -407,3 +409,14 @@ def test_scores_of_odd_input(spark):
     got = {x.doc_id: x.probability for x in T.scores(d, l).collect()}
     assert len(got) == 63 and got[100] == got[101] == 0.0
     assert T.scores(d, l.limit(0)).count() == 63 and T.scores(d.limit(0), l).count() == 0
+
+
+def test_near_copies_of_an_item_keep_their_opening(spark):
+    r = random.Random(21)
+    opening = sentence(r, 16) + "."
+    body = sentence(r, 60)
+    items = [(1, f"{opening} {body}"), (2, f"{opening} {light(r, body)}"), (3, "Read the passage and answer. " + sentence(r, 50)), (4, "Read the passage and answer. " + sentence(r, 50))]
+    i = spark.createDataFrame(items, "item_id long, text string")
+    assert L._lines(i) == [["read", "the", "passage", "and", "answer"]]
+    d = spark.createDataFrame([(7, f"{sentence(r, 9)} {opening} {sentence(r, 9)}")], "doc_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in L.leaks(spark, d, i).collect()} == {(7, 1), (7, 2)}
