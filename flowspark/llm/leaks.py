@@ -297,14 +297,15 @@ def _joined(spark: SparkSession, docs: DataFrame, given: DataFrame, lines: list[
 def _lines(items: DataFrame) -> list[list[str]]:
     """Standing lines: opening sentences of two or more items that go on differently. Only repeated sentences come back.
 
-    Items with the same opening that are near copies of each other have most of their further words in common; of each
+    Items with the same opening that are near copies of each other have most of their further word pairs in common; of each
     opening, the items with the smallest and the largest hash are compared.
     """
     first = items.select(F.trim("text").alias("t")).withColumn("f", F.regexp_extract("t", r"^(.*?[.:!?])(\s|$)|^([^\n]*)", 0)).where("f <> ''")
-    rest = F.array_distinct(F.split(F.lower(F.expr("substring(t, length(f) + 1)")), r"[^\p{L}\p{N}]+"))
-    seen = first.select("f", F.struct(F.xxhash64("t").alias("h"), rest.alias("w")).alias("r")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("a"), F.max("r").alias("b"))
+    rest = F.split(F.lower(F.expr("substring(t, length(f) + 1)")), r"[^\p{L}\p{N}]+")
+    two = F.array_distinct(F.zip_with("w", F.slice("w", 2, 1 << 30), lambda x, y: F.concat_ws(" ", x, y)))
+    seen = first.select("f", "t", rest.alias("w")).select("f", F.struct(F.xxhash64("t").alias("h"), two.alias("w")).alias("r")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("a"), F.max("r").alias("b"))
     common = F.size(F.array_intersect("a.w", "b.w")) / F.least(F.size("a.w"), F.size("b.w"))
-    seen = seen.where((F.col("n") > 1) & (common < 0.6))
+    seen = seen.where((F.col("n") > 1) & (common < 0.5))
     return sorted((list(x) for x in {tuple(words(r[0])) for r in seen.select("f").toLocalIterator()} if x), key=len, reverse=True)
 
 

@@ -310,12 +310,12 @@ def test_leaks(spark):
     assert L.leaks(spark, d, i.limit(0)).count() == 0 and L.leaks(spark, d.limit(0), i).count() == 0
 
 
-def test_items_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(L, "ITEM_BLOCK", 2)
+@pytest.mark.parametrize("most", [2, 5000])
+def test_any_number_of_items(spark, most):
     r = random.Random(7)
     items = [(i, sentence(r, 40)) for i in range(5)]
     d = spark.createDataFrame([(i, t) for i, t in items], "doc_id long, text string")
-    assert {(x.doc_id, x.item_id) for x in L.leaks(spark, d, spark.createDataFrame(items, "item_id long, text string")).collect()} == {(i, i) for i in range(5)}
+    assert {(x.doc_id, x.item_id) for x in L.leaks(spark, d, spark.createDataFrame(items, "item_id long, text string"), most).collect()} == {(i, i) for i in range(5)}
 
 
 def test_raking():
