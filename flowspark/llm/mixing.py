@@ -33,8 +33,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters encoded at once: longer texts are cut at blanks, which tokens rarely cross.
 PIECE = 100_000
-#: Raking rounds, the greatest factor by which raking may change a cell's share of its source, slices for running totals.
-ROUNDS, TRIM, SLICES = 60, 5.0, 8
+#: Raking rounds, the greatest factor by which raking may change a cell's share of its source, documents of a slice for running totals.
+ROUNDS, TRIM, SLICE = 60, 5.0, 50_000
 
 
 def _counts(folder: str, vocabulary: str):
@@ -157,7 +157,9 @@ def draw(docs: DataFrame, mix_targets: DataFrame, seed: int = 5) -> DataFrame:
     whole = F.floor(F.col("rate") + 1e-6)  # a rate at its limit is a whole number but for rounding
     # a fractional maximum of repeats holds for the source as a whole; a document is taken a whole number of times
     x = x.select("mix_name", "source", "doc_id", "tokens", whole.alias("whole"), F.greatest(F.col("rate") - whole, F.lit(0.0)).alias("p"), "full", F.xxhash64(F.lit(seed), "mix_name", "doc_id").alias("h"))
-    x = x.withColumn("slice", -F.col("tokens") * SLICES + F.pmod("h", F.lit(SLICES)))
+    # documents of one length are a slice, or several if they are many: no running total is taken over more in one task
+    many = small_broadcast(tmp.put(x.groupBy("mix_name", "source", "tokens").agg(F.floor(F.count(F.lit(1)) / SLICE + 1).alias("cuts"))))
+    x = x.join(many, ["mix_name", "source", "tokens"]).withColumn("slice", F.struct((-F.col("tokens")).alias("t"), F.pmod("h", "cuts").alias("k"))).drop("cuts")
     sums = x.groupBy("mix_name", "source", "slice").agg(F.sum("p").alias("part"))
     sums = sums.select("mix_name", "source", "slice", (F.sum("part").over(Window.partitionBy("mix_name", "source").orderBy("slice")) - F.col("part")).alias("before"))
     start = F.when(F.col("full"), 0.0).otherwise(F.pmod(F.xxhash64(F.lit(seed), "mix_name", "source"), F.lit(9973)) / 9973)

@@ -83,12 +83,14 @@ def collapse_runs(events: DataFrame, entity: str, ordinal: str, at: str | None =
         F.element_at(seg, 1)["o"].alias("first"), F.element_at(seg, -1)["o"].alias("last"),
         F.array_min(F.transform(seg, lambda x: x["t"])).alias("t0"), F.array_max(F.transform(seg, lambda x: x["t"])).alias("t1"),
     )
-    # pieces that touch an end of their stretch continue the piece before them if the symbols agree
+    # pieces that touch an end of their stretch, two of thousands of events, continue the piece before them if the symbols agree
+    inside = runs.where("not head and not tail").select("e", "first", "last", "sym", "n", "t0", "t1")
+    runs = runs.where("head or tail")
     w = Window.partitionBy("e").orderBy("first")
     joins = F.col("head") & F.lag("tail").over(w) & (F.lag("sym").over(w) == F.col("sym")) & (F.col("sym") != NOTHING)
     runs = runs.withColumn("new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("island", F.sum("new").over(w))
     done = runs.groupBy("e", "island").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.first("sym").alias("sym"), F.sum("n").alias("n"), F.min("t0").alias("t0"), F.max("t1").alias("t1"))
-    done = done.where((F.col("n") > 1) & (F.col("sym") != NOTHING))
+    done = done.drop("island").unionByName(inside).where((F.col("n") > 1) & (F.col("sym") != NOTHING))
     return done.select(F.col("e").alias(entity), "first", "last", "sym", "n", (F.col("t1").cast("double") - F.col("t0").cast("double")).alias("duration_s"))
 
 
