@@ -33,10 +33,19 @@ def normalised(a: Column) -> Column:
 
 
 def mean_vectors(df: DataFrame, keys: list[str], vector: str, out: str = "vector") -> DataFrame:
-    """Element-wise mean of the vectors of each group: a partially aggregated average per position, then one ordered array."""
-    p = df.where(F.col(vector).isNotNull()).select(*keys, F.posexplode(vector).alias("_p", "_x"))
-    m = p.groupBy(*keys, "_p").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
-    return m.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_p", "_m"))).alias("_v")).select(*keys, F.col("_v._m").alias(out))
+    """Element-wise mean of the vectors of each group, partially aggregated as whole vectors.
+
+    Null and empty vectors and those with a null element do not count; of a group's vectors those of its most frequent length do
+    (ties: the longer). Groups without a vector have no row.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    v = F.col(vector)
+    p = df.where(v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull())).select(*keys, F.size(v).alias("_d"), array_to_vector(v.cast("array<double>")).alias("_v"))
+    m = p.groupBy(*keys, "_d").agg(Summarizer.mean(F.col("_v")).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    m = m.select(*keys, F.struct("_n", "_d", vector_to_array("_m").alias("_m")).alias("_r"))
+    return m.groupBy(*keys).agg(F.max("_r").alias("_r")).select(*keys, F.col("_r._m").alias(out))
 
 
 def average_rank(df: DataFrame, value: str, *partition: str, out: str = "rank") -> DataFrame:

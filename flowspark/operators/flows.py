@@ -117,9 +117,38 @@ def dag_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.join(e, "dag_id", "left").fillna(0, ["n_edges", "n_same_actor", "n_loops"])
 
 
+def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(dag_id, node_id, component): the smallest node of those connected by edges in either direction.
+
+    Every round takes the smallest name among the neighbours and then that name's own, so rounds grow with the logarithm of the
+    longest way, not with the way.
+    """
+    tmp = Scratch(nodes.sparkSession, "weak")
+    e = edges.select("dag_id", "src", "dst")
+    e = tmp.put(e.unionByName(e.select("dag_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    c = tmp.put(nodes.select("dag_id", "node_id").distinct().withColumn("component", F.col("node_id")))
+    while True:
+        near = e.join(c.withColumnRenamed("node_id", "src"), ["dag_id", "src"]).select("dag_id", F.col("dst").alias("node_id"), "component")
+        # a name that a node takes is offered to the name the node had, too
+        offer = near.join(c.withColumnRenamed("component", "had"), ["dag_id", "node_id"]).select("dag_id", F.col("had").alias("node_id"), "component")
+        new = tmp.put(c.unionByName(near).unionByName(offer).groupBy("dag_id", "node_id").agg(F.min("component").alias("component")).join(nodes.select("dag_id", "node_id").distinct(), ["dag_id", "node_id"], "left_semi"))
+        up = new.select("dag_id", F.col("node_id").alias("component"), F.col("component").alias("top"))
+        new = tmp.put(new.join(up, ["dag_id", "component"]).select("dag_id", "node_id", F.col("top").alias("component")))
+        if new.join(c, ["dag_id", "node_id", "component"], "left_anti").isEmpty():
+            return new
+        c = new
+
+
 def dag_validity(tree: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(dag_id, acyclic, alternates, actors_known, ok) of every graph; tree is hierarchy() of it. A graph without nodes has no row."""
-    c = tree.groupBy("dag_id").agg((F.count_if(F.col("depth") == -1) == 0).alias("acyclic"), F.count_if(F.col("depth") == 0).alias("n_roots"))
+    """(dag_id, acyclic, n_roots, n_on_cycle, n_components, alternates, actors_known, ok) of every graph; tree is hierarchy() of it.
+
+    n_components counts weak components, of which a valid graph has one. Cycles are not enumerated, their number can grow
+    exponentially: the nodes on any are counted. A graph without nodes has no row.
+    """
+    ends = tree.select("dag_id", "node_id").distinct()
+    inner = edges.join(ends.withColumnRenamed("node_id", "src"), ["dag_id", "src"], "left_semi").join(ends.withColumnRenamed("node_id", "dst"), ["dag_id", "dst"], "left_semi")
+    parts = weak_components(ends, inner).groupBy("dag_id").agg(F.countDistinct("component").alias("n_components"))
+    c = tree.groupBy("dag_id").agg((F.count_if(F.col("depth") == -1) == 0).alias("acyclic"), F.count_if(F.col("depth") == 0).alias("n_roots"), F.count_if(F.col("depth") == -1).alias("n_on_cycle"))
     s = dag_stats(nodes, edges).select("dag_id", (F.col("n_same_actor") == 0).alias("alternates"), (F.col("n_unknown") == 0).alias("actors_known"))
-    r = c.join(s, "dag_id")
-    return r.withColumn("ok", F.col("acyclic") & F.col("alternates") & F.col("actors_known"))
+    r = c.join(parts, "dag_id").join(s, "dag_id")
+    return r.withColumn("ok", F.col("acyclic") & (F.col("n_components") <= 1) & F.col("alternates") & F.col("actors_known"))

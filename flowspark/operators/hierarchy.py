@@ -167,7 +167,7 @@ def _local(paths: bool):
     return run
 
 
-def hierarchy(spark: SparkSession, nodes: DataFrame, edges: DataFrame, paths: bool = True, local_nodes: int = 50_000, bucket_rows: int = 100_000) -> DataFrame:
+def hierarchy(spark: SparkSession, nodes: DataFrame, edges: DataFrame, paths: bool = True, local_nodes: int | None = None, bucket_rows: int | None = None) -> DataFrame:
     """Root, depth and path of every node of every graph.
 
     nodes: (dag_id, node_id, ...), edges: (dag_id, src, dst, ...); further columns are ignored whatever their names.
@@ -176,8 +176,10 @@ def hierarchy(spark: SparkSession, nodes: DataFrame, edges: DataFrame, paths: bo
     Null ids and edges with a null or unknown end are ignored, repeated rows count once, ids are compared without
     surrounding blanks; empty tables give an empty result. A node with several parents outside any cycle follows its
     smallest parent when it is raked.
-    Graphs of at most local_nodes rows are contracted in tasks of about bucket_rows rows, larger ones by all executors.
+    Graphs of at most local_nodes rows are contracted in tasks of about bucket_rows rows, larger ones by all executors. As a
+    chain has half the square of its length in path elements, fewer rows share a task if paths are wanted.
     """
+    local_nodes, bucket_rows = local_nodes or (4_000 if paths else 50_000), bucket_rows or (20_000 if paths else 100_000)
     n = nodes.select(F.col("dag_id").alias("g"), F.trim("node_id").alias("v")).where("g is not null and v is not null")
     e = edges.select(F.col("dag_id").alias("g"), F.trim("src").alias("s"), F.trim("dst").alias("d")).where("g is not null and s is not null and d is not null")
     sizes = n.select("g").unionByName(e.select("g")).groupBy("g").agg(F.count(F.lit(1)).alias("k"))

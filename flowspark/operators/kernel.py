@@ -161,16 +161,15 @@ def _score_block(dwell: float | None, alpha: float):
     return run
 
 
-def flow_distances(talk: DataFrame, nodes: DataFrame, centroids: DataFrame, pairs: DataFrame, block: int = 256, blocks: int = 64, dwell: float | None = None, alpha: float = ALPHA) -> DataFrame:
+def flow_distances(talk: DataFrame, nodes: DataFrame, centroids: DataFrame, pairs: DataFrame, block: int = 256, dwell: float | None = None, alpha: float = ALPHA) -> DataFrame:
     """(flow_id, dialogue_id, n_turns, distance) of every pair.
 
     talk: (dialogue_id, turn, actor, vector); nodes: (flow_id, node, parent, bucket), a node once per parent; centroids:
     (flow_id, bucket, actor, ord, centroid); pairs: (dialogue_id, flow_id). A flow goes to as many tasks as it has blocks of
-    conversations, at most `blocks`; pairs without turns have no row. A cycle in a flow is an error.
+    conversations of about `block`; pairs without turns have no row. A cycle in a flow is an error.
     """
-    p = pairs.withColumn("part", F.pmod(F.xxhash64("dialogue_id"), F.lit(blocks)))
-    sized = p.groupBy("flow_id").agg(F.least(F.lit(blocks), F.ceil(F.count(F.lit(1)) / block)).cast("long").alias("parts"))
-    p = p.join(sized, "flow_id").select("flow_id", "dialogue_id", F.pmod("part", "parts").alias("part"))
+    sized = pairs.groupBy("flow_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("parts"))
+    p = pairs.join(sized, "flow_id").select("flow_id", "dialogue_id", F.pmod(F.xxhash64("dialogue_id"), "parts").alias("part"))
     left = talk.join(p, "dialogue_id").select("flow_id", "part", "dialogue_id", "turn", "actor", "vector")
     n = nodes.select("flow_id", F.lit("n").alias("kind"), "node", "parent", "bucket", F.lit(None).cast("string").alias("actor"), F.lit(0).cast("long").alias("ord"), F.lit(None).cast("array<double>").alias("centroid"))
     b = centroids.select("flow_id", F.lit("b").alias("kind"), F.lit(None).cast("string").alias("node"), F.lit(None).cast("string").alias("parent"), "bucket", "actor", "ord", "centroid")

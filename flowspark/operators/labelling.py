@@ -197,19 +197,21 @@ def agglomerative(points: DataFrame, similarity: float = 0.55) -> DataFrame:
     return points.where("vector is not null").select("g", "id", "vector").groupBy("g").applyInPandas(run, f"g {kinds['g']}, id {kinds['id']}, cluster long")
 
 
-def kmeans_sweep(points: DataFrame, least: int = 3, most: int = 8, seed: int = 42) -> DataFrame:
-    """(k, silhouette) of Euclidean k-means on (id, vector), with cosine silhouettes; by MLlib, so clusters are found by all executors."""
+def kmeans_sweep(points: DataFrame, least: int = 3, most: int = 20, seed: int = 42) -> DataFrame:
+    """(k, silhouette, best) of Euclidean k-means on (id, vector), with cosine silhouettes, for k up to one less than the points; by
+    MLlib, so clusters are found by all executors. The best k has the greatest silhouette (ties: the smallest k)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import array_to_vector
 
     spark = points.sparkSession
     v = Scratch(spark, "kmeans").put(points.where("vector is not null").select("id", "vector")).select("id", array_to_vector("vector").alias("features"))
-    rows = []
-    for k in range(least, most + 1):
+    rows, n = [], v.count()
+    for k in range(least, min(most, n - 1) + 1):
         made = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(v).transform(v)
         rows.append((k, float(ClusteringEvaluator(predictionCol="cluster", distanceMeasure="cosine").evaluate(made))))
-    return spark.createDataFrame(rows, "k int, silhouette double")
+    best = max(rows, key=lambda r: (r[1], -r[0]))[0] if rows else None
+    return spark.createDataFrame([(*r, r[0] == best) for r in rows], "k int, silhouette double, best boolean")
 
 
 def representatives(points: DataFrame, n: int = 5, places: int = 9) -> DataFrame:

@@ -45,11 +45,16 @@ def usage_totals(calls: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def length_confound(scores: DataFrame, *keys: str, width: int = 3, least: int = 5) -> DataFrame:
-    """(keys, raw_ratio, in_rho, lm_ratio, coverage, n_bins): the raw ratio, the rank correlation of positive scores with length, and the length-matched ratio."""
+    """(keys, raw_ratio, in_rho, lm_ratio, coverage, out_coverage, n_bins, lm_ci_lo, lm_ci_hi, p_perm): the raw ratio, the rank
+    correlation of positive scores with length, the length-matched ratio with its interval, and its permutation p."""
     raw = S.discrimination(scores, *keys).select(*keys, F.col("ratio").alias("raw_ratio"))
     rho = S.spearman(scores.where("pool = 'positive'"), "score", "length", *keys).select(*keys, F.col("rho").alias("in_rho"))
-    lm = S.length_matched(scores, *keys, width=width, least=least).select(*keys, "lm_ratio", "coverage", "n_bins")
-    return raw.join(rho, list(keys), "left").join(lm, list(keys), "left")
+    lm = S.length_matched(scores, *keys, width=width, least=least).select(*keys, "lm_ratio", "coverage", "out_coverage", "n_bins")
+    ci, p = S.length_matched_ci(scores, *keys, width=width, least=least), S.permutation_p(scores, *keys, width=width, least=least)
+    out = raw
+    for part in (rho, lm, ci, p):
+        out = out.join(part, list(keys), "left")
+    return out
 
 
 def markdown(df: DataFrame, limit: int = 200) -> str:

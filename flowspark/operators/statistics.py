@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.functions.vectors import average_rank
+from flowspark.session import Scratch, small_broadcast
 
 
 def hash_order(seed: int, *columns: str) -> Column:
@@ -35,12 +36,12 @@ def multi_split(items: DataFrame, stratum: str, item: str, splits: int, seed: in
     Both in an order of their own per split. An item is drawn as a negative of a stratum by the rank of its hash among all items
     of other strata; ranks come from one window per (split, stratum), the number of strata being small.
     """
-    n = items.groupBy(stratum).agg(F.floor(F.count(F.lit(1)) / 2).alias("half"))
+    n = small_broadcast(Scratch(items.sparkSession, "halves").put(items.groupBy(stratum).agg(F.floor(F.count(F.lit(1)) / 2).alias("half"))))
     s = items.crossJoin(items.sparkSession.range(splits).select(F.col("id").cast("int").alias("split")))
     h = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("split").cast("string"), F.col(item).cast("string")))
     s = s.withColumn("h", h)
     pos = s.join(n, stratum).withColumn("k", F.row_number().over(Window.partitionBy("split", stratum).orderBy("h", item))).where("k <= half").select("split", stratum, item, F.lit("positive").alias("pool"))
-    other = s.withColumnRenamed(stratum, "_own").join(F.broadcast(n), F.col("_own") != F.col(stratum))
+    other = s.withColumnRenamed(stratum, "_own").join(n, F.col("_own") != F.col(stratum))
     neg = other.withColumn("k", F.row_number().over(Window.partitionBy("split", stratum).orderBy("h", item))).where("k <= half").select("split", stratum, item, F.lit("negative").alias("pool"))
     return pos.unionByName(neg)
 
@@ -70,21 +71,89 @@ def normal_tail(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if x is None or math.isnan(x) else 0.5 * math.erfc(-x / math.sqrt(2)))
 
 
+#: Sizes up to which the smaller pool, or the ranked differences, have their exact distribution (without ties).
+EXACT_POOL, EXACT_PAIRS = 8, 50
+
+
+def u_counts(n1: int, n2: int) -> np.ndarray:
+    """How many arrangements of two pools have each value of U, by the sizes' product of Gaussian binomials."""
+    c = np.zeros(n1 * n2 + 1)
+    c[0] = 1
+    for k in range(1, n1 + 1):
+        d = c.copy()  # times (1 - q^(n2 + k))
+        if n2 + k < len(c):
+            d[n2 + k :] -= c[: len(c) - n2 - k]
+        for j in range(k, len(d)):  # over (1 - q^k)
+            d[j] += d[j - k]
+        c = d
+    return c
+
+
+def signed_rank_counts(n: int) -> np.ndarray:
+    """How many sign patterns of ranks 1..n have each sum of the positive ones."""
+    c = np.zeros(n * (n + 1) // 2 + 1)
+    c[0] = 1
+    for r in range(1, n + 1):
+        c[r:] = c[r:] + c[: len(c) - r]
+    return c
+
+
 def mann_whitney_p(u: DataFrame) -> DataFrame:
-    """u, as from mann_whitney(), with p_less: tie- and continuity-corrected normal approximation of P(U <= u)."""
+    """u, as from mann_whitney(), with p_less = P(U <= u): exact if a pool has at most EXACT_POOL scores and none are tied, else
+    the tie- and continuity-corrected normal approximation."""
+
+    @F.pandas_udf("double")
+    def exact(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+        return pd.Series([float((c := u_counts(int(a), int(b)))[: int(x) + 1].sum() / c.sum()) for x, a, b in zip(u, n1, n2)])
+
     n1, n2 = F.col("n_pos"), F.col("n_neg")
     n = n1 + n2
     var = n1 * n2 / 12.0 * ((n + 1) - F.col("tie_term") / F.greatest(n * (n - 1), F.lit(1)))
-    return u.withColumn("p_less", F.when(var > 0, F.pandas_udf(normal_tail, "double")((F.col("u") - n1 * n2 / 2.0 + 0.5) / F.sqrt(F.when(var > 0, var)))))
+    u = u.withColumn("p_less", F.when(var > 0, F.pandas_udf(normal_tail, "double")((F.col("u") - n1 * n2 / 2.0 + 0.5) / F.sqrt(F.when(var > 0, var)))))
+    small = (F.least(n1, n2) > 0) & (F.least(n1, n2) <= EXACT_POOL) & (F.col("tie_term") == 0)
+    few = u.where(small)
+    return u.where(~small).unionByName(few.withColumn("p_less", exact("u", "n_pos", "n_neg")))
+
+
+def averages(scores: DataFrame) -> DataFrame:
+    """(stratum, dialogue_id, n_splits, mean_score) of the positive scores of every conversation over splits."""
+    return scores.where("pool = 'positive'").groupBy("stratum", "dialogue_id").agg(F.count(F.lit(1)).alias("n_splits"), F.avg("score").alias("mean_score"))
 
 
 def paired(a: DataFrame, b: DataFrame, key: str, least: int = 5) -> DataFrame:
-    """(n, median_diff, w_plus, w_minus): Wilcoxon's signed ranks of a.score - b.score over common keys, zeros dropped from the ranks."""
+    """(n, median_diff, w_plus, w_minus, n_ranked, tie_term): Wilcoxon's signed ranks of a.score - b.score over common keys, zeros
+    dropped from the ranks. Fewer than `least` common keys give no row."""
     d = a.select(key, F.col("score").alias("x")).join(b.select(key, F.col("score").alias("y")), key).select((F.col("x") - F.col("y")).alias("d"))
     n = d.agg(F.count(F.lit(1)).alias("n"), F.median("d").alias("median_diff")).where(F.col("n") >= least)
     r = average_rank(d.where("d <> 0").select(F.abs("d").alias("a"), (F.col("d") > 0).alias("up"), F.lit(1).alias("g")), "a", "g")
-    w = r.agg(F.coalesce(F.sum(F.when(F.col("up"), F.col("rank"))), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.when(~F.col("up"), F.col("rank"))), F.lit(0.0)).alias("w_minus"))
-    return n.crossJoin(w)
+    w = r.agg(F.coalesce(F.sum(F.when(F.col("up"), F.col("rank"))), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.when(~F.col("up"), F.col("rank"))), F.lit(0.0)).alias("w_minus"), F.count(F.lit(1)).alias("n_ranked"))
+    t = r.groupBy("a").agg(F.count(F.lit(1)).alias("k")).agg(F.coalesce(F.sum(F.col("k") * F.col("k") * F.col("k") - F.col("k")), F.lit(0)).alias("tie_term"))
+    return n.crossJoin(w).crossJoin(t)  # one row each
+
+
+def paired_p(w: DataFrame) -> DataFrame:
+    """w, as from paired(), with p_two_sided, p_less and p_greater; all 1 if no difference is left.
+
+    Exact for at most EXACT_PAIRS differences without ties and zeros, else the normal approximation with tie correction.
+    """
+
+    @F.pandas_udf("p_less double, p_greater double, p_two_sided double")
+    def p(n: pd.Series, ranked: pd.Series, up: pd.Series, ties: pd.Series) -> pd.DataFrame:
+        rows = []
+        for total, m, x, t in zip(n, ranked, up, ties):
+            if m == 0:
+                rows.append((1.0, 1.0, 1.0))
+            elif m <= EXACT_PAIRS and t == 0 and m == total:
+                c = signed_rank_counts(int(m))
+                low, high = (float(c[k].sum() / c.sum()) for k in (slice(None, round(x) + 1), slice(round(x), None)))
+                rows.append((low, high, min(1.0, 2 * min(low, high))))
+            else:
+                z = (x - m * (m + 1) / 4) / math.sqrt(m * (m + 1) * (2 * m + 1) / 24 - t / 48)
+                low, high = (0.5 * math.erfc(-y / math.sqrt(2)) for y in (z, -z))
+                rows.append((low, high, min(1.0, 2 * min(low, high))))
+        return pd.DataFrame(rows, columns=["p_less", "p_greater", "p_two_sided"])
+
+    return w.withColumn("_p", p("n", "n_ranked", "w_plus", "tie_term")).select("*", "_p.*").drop("_p")
 
 
 def spearman(df: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
@@ -127,28 +196,48 @@ def bootstrap_ratio(scores: DataFrame, *keys: str, draws: int = 2000, seed: int
     return _by_key(scores, keys, run, "ratio double, ratio_lo double, ratio_hi double, gap_lo double, gap_hi double")
 
 
-def permutation_p(scores: DataFrame, *keys: str, width: int = 3, least: int = 5, draws: int = 2000, seed: int = 0) -> DataFrame:
+def _bins(b: pd.DataFrame, width: int, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(positive, negative) scores of the length bins with enough of both."""
+    pos, score, bins = (b["pool"] == "positive").to_numpy(), b["score"].to_numpy(np.float64), (b["length"] // width).to_numpy()
+    both = [(score[(bins == k) & pos], score[(bins == k) & ~pos]) for k in np.unique(bins)]
+    return [(p, q) for p, q in both if len(p) >= least and len(q) >= least]
+
+
+def length_matched_ci(scores: DataFrame, *keys: str, width: int = 3, least: int = 5, draws: int = 2000, seed: int = 0) -> DataFrame:
+    """(keys, lm_ci_lo, lm_ci_hi): percentile interval of the length-matched ratio, scores drawn anew inside each bin; null without a bin."""
+
+    def run(b: pd.DataFrame) -> tuple:
+        use, rng = _bins(b, width, least), np.random.default_rng(seed)
+        if not use:
+            return (None, None)
+        again = lambda x: x[rng.integers(0, len(x), (draws, len(x)))].mean(1)
+        above, below = np.zeros(draws), np.zeros(draws)
+        for p, q in use:
+            above, below = above + len(p) * again(q), below + len(p) * again(p)
+        r = np.where(below > 0, above / np.where(below > 0, below, 1), np.inf)
+        return tuple(map(float, np.quantile(r, [0.025, 0.975])))
+
+    return _by_key(scores, keys, run, "lm_ci_lo double, lm_ci_hi double")
+
+
+def permutation_p(scores: DataFrame, *keys: str, width: int = 3, least: int = 5, draws: int = 10_000, seed: int = 0) -> DataFrame:
     """(keys, p_perm): share of shuffles inside length bins whose length-matched ratio reaches the true one, (count + 1) / (draws + 1)."""
 
     def run(b: pd.DataFrame) -> tuple:
-        rng = np.random.default_rng(seed)
-        pos, score, bins = (b["pool"] == "positive").to_numpy(), b["score"].to_numpy(np.float64), (b["length"] // width).to_numpy()
-        use = [np.flatnonzero(bins == k) for k in np.unique(bins)]
-        use = [i for i in use if pos[i].sum() >= least and (~pos[i]).sum() >= least]
+        use, rng = _bins(b, width, least), np.random.default_rng(seed)
         if not use:
             return (None,)
-
-        def ratio(label: np.ndarray) -> float:
-            a = sum(label[i].sum() * score[i][~label[i]].mean() for i in use)
-            c = sum(score[i][label[i]].sum() for i in use)
-            return a / c if c > 0 else np.inf
-
-        true, hits = ratio(pos), 0
-        label = pos.copy()
-        for _ in range(draws):
-            for i in use:
-                label[i] = rng.permutation(label[i])
-            hits += ratio(label) >= true
+        ratio = lambda a, c: np.where(c > 0, a / np.where(c > 0, c, 1), np.inf)
+        true = ratio(sum(len(p) * q.mean() for p, q in use), np.float64(sum(p.sum() for p, _ in use)))
+        hits = 0
+        for k in range(0, draws, 500):  # bounds the shuffled copies held at once
+            m = min(500, draws - k)
+            above, below = np.zeros(m), np.zeros(m)
+            for p, q in use:
+                x = rng.permuted(np.tile(np.concatenate([p, q]), (m, 1)), axis=1)
+                below += x[:, : len(p)].sum(1)
+                above += len(p) * x[:, len(p) :].mean(1)
+            hits += int((ratio(above, below) >= true - 1e-12).sum())
         return ((hits + 1) / (draws + 1),)
 
     return _by_key(scores, keys, run, "p_perm double")

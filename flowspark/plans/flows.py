@@ -140,7 +140,14 @@ def discrimination_ratio(spark: SparkSession, d: str) -> DataFrame:
     return g.select("flow_id", "n_pos", "n_neg", *[F.round(c, 6).alias(c) for c in ("mean_pos", "mean_neg", "std_pos", "std_neg", "ratio", "gap")])
 
 
-@query()
+#: The kernel with staying on a node for another turn: running costs of that are sums p, one list per bucket.
+_DWELL = _KERNEL.replace("list(coalesce(s.s, 1e9) ORDER BY tv.turn) AS s FROM", "list(coalesce(s.s, 1e9) ORDER BY tv.turn) AS s, [0.0::DOUBLE] || list(w.c ORDER BY tv.turn) AS p FROM").replace(
+    "LEFT JOIN sub s USING (flow_id, dialogue_id, turn, bucket) GROUP BY ALL)",
+    "LEFT JOIN sub s USING (flow_id, dialogue_id, turn, bucket) JOIN (SELECT tv.flow_id, tv.dialogue_id, tv.turn, b.bucket, sum(least(1.0::DOUBLE, coalesce(s.s, 1e9) + 0.25::DOUBLE)) OVER (PARTITION BY tv.flow_id, tv.dialogue_id, b.bucket ORDER BY tv.turn) AS c FROM tv JOIN (SELECT DISTINCT flow_id, bucket FROM trie) b USING (flow_id) LEFT JOIN sub s USING (flow_id, dialogue_id, turn, bucket)) w USING (flow_id, dialogue_id, turn, bucket) GROUP BY ALL)",
+).replace("list_min(list_transform(range(0, j + 1), lambda k: a[k + 1] + (j - k)))) FROM", "list_min(list_transform(range(0, j + 1), lambda k: a[k + 1] - p[k + 1])) + p[j + 1]) FROM").replace("AS a\n    FROM dp", "AS a, b.p AS p\n    FROM dp")
+
+
+@query(f"WITH RECURSIVE {_DWELL} SELECT flow_id, dialogue_id, n_turns, round(distance, 6) AS distance FROM sc")
 def flow_distance_dwell(spark: SparkSession, d: str) -> DataFrame:
     """Distances where a node may be kept for a further turn at a quarter of an insertion more than its substitution cost."""
     return _scored(spark, d, Scratch(spark, "scores"), dwell=0.25).select("flow_id", "dialogue_id", "n_turns", F.round("distance", 6).alias("distance"))
@@ -153,6 +160,15 @@ def mann_whitney_u(spark: SparkSession, d: str) -> DataFrame:
     return S.mann_whitney(s, "flow_id").select("flow_id", "n_pos", "n_neg", "u", F.round("rbc", 6).alias("rbc"))
 
 
+@query(f"""WITH RECURSIVE {_KERNEL}, r AS (SELECT flow_id, own, rank() OVER (PARTITION BY flow_id, own ORDER BY q) + (count(*) OVER (PARTITION BY flow_id, own, q) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY flow_id, own ORDER BY n_turns) + (count(*) OVER (PARTITION BY flow_id, own, n_turns) - 1) / 2.0::DOUBLE AS b FROM (SELECT sc.*, o.own, round(score, 9) AS q FROM sc JOIN (SELECT DISTINCT dialogue_id, own FROM test) o USING (dialogue_id) WHERE pool = 'negative'))
+SELECT flow_id, own AS stratum, round(CASE WHEN isfinite(corr(a, b)) THEN corr(a, b) END, 6) + 0.0 AS rho, count(*) AS n FROM r GROUP BY flow_id, own""")
+def block_rho(spark: SparkSession, d: str) -> DataFrame:
+    """Rank correlation of score and length inside every block of negatives from one stratum."""
+    s = _scored(spark, d, Scratch(spark, "scores")).where("pool = 'negative'").withColumn("score", F.round("score", 9))
+    s = s.join(C.sides(spark, d).select("dialogue_id", F.concat_ws(":", "corpus", "stratum").alias("stratum")), "dialogue_id")
+    return S.spearman(s, "score", "n_turns", "flow_id", "stratum").select("flow_id", "stratum", (F.round("rho", 6) + 0.0).alias("rho"), "n")
+
+
 @query()
 def mw_pvalue(spark: SparkSession, d: str) -> DataFrame:
     tmp = Scratch(spark, "scores")
@@ -197,12 +213,12 @@ def wilcoxon_w(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    return S.bootstrap_ratio(_scored(spark, d, Scratch(spark, "scores")), "flow_id", draws=500)
+    return S.bootstrap_ratio(_scored(spark, d, Scratch(spark, "scores")), "flow_id")
 
 
 @query()
 def permutation_p(spark: SparkSession, d: str) -> DataFrame:
-    return S.permutation_p(_scored(spark, d, Scratch(spark, "scores")).withColumnRenamed("n_turns", "length"), "flow_id", least=2, draws=500)
+    return S.permutation_p(_scored(spark, d, Scratch(spark, "scores")).withColumnRenamed("n_turns", "length"), "flow_id", least=2)
 
 
 def _talk(spark: SparkSession, d: str, tmp: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -287,8 +303,9 @@ def cluster_representatives(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def kmeans_silhouette(spark: SparkSession, d: str) -> DataFrame:
-    c = Scratch(spark, "kmeans").put(G.centroids(_train(spark, d, True)))
-    return L.kmeans_sweep(c.select(F.xxhash64("flow_id", "bucket").alias("id"), F.col("centroid").alias("vector")), 3, 6)
+    """k from 3 to 20 over the unit vectors of all turns."""
+    p, _ = _points(spark, d, Scratch(spark, "kmeans"))
+    return L.kmeans_sweep(p.select("id", normalised(F.col("vector")).alias("vector")).where("not exists(vector, x -> x is null)"))
 
 
 @query()
@@ -325,9 +342,10 @@ def dag_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_DAG}, k AS (SELECT x.* FROM x WHERE EXISTS (SELECT 1 FROM n WHERE n.dag_id = x.dag_id AND n.node_id = x.src) AND EXISTS (SELECT 1 FROM n WHERE n.dag_id = x.dag_id AND n.node_id = x.dst)), up(dag_id, v, a) AS (SELECT dag_id, dst, src FROM k UNION SELECT up.dag_id, up.v, k.src FROM up JOIN k ON k.dag_id = up.dag_id AND k.dst = up.a),
-c AS (SELECT DISTINCT dag_id FROM up WHERE v = a), r AS (SELECT dag_id, count(*) AS n_roots FROM n WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.dag_id = n.dag_id AND k.dst = n.node_id) GROUP BY dag_id),
+c AS (SELECT dag_id, count(DISTINCT v) AS n_on FROM up WHERE v = a GROUP BY dag_id), w(dag_id, v, a) AS (SELECT dag_id, node_id, node_id FROM n UNION SELECT w.dag_id, w.v, o.b FROM w JOIN (SELECT dag_id, src AS a, dst AS b FROM k UNION SELECT dag_id, dst, src FROM k) o ON o.dag_id = w.dag_id AND o.a = w.a),
+p AS (SELECT dag_id, count(DISTINCT low) AS n_parts FROM (SELECT dag_id, v, min(a) AS low FROM w GROUP BY dag_id, v) GROUP BY dag_id), r AS (SELECT dag_id, count(*) AS n_roots FROM n WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.dag_id = n.dag_id AND k.dst = n.node_id) GROUP BY dag_id),
 s AS (SELECT k.dag_id, count(*) FILTER (s.actor = t.actor) AS same FROM k JOIN n s ON s.dag_id = k.dag_id AND s.node_id = src JOIN n t ON t.dag_id = k.dag_id AND t.node_id = dst GROUP BY k.dag_id), g AS (SELECT dag_id, bool_and(actor IS NOT NULL) AS actors_known FROM n GROUP BY dag_id)
-SELECT g.dag_id, c.dag_id IS NULL AS acyclic, coalesce(r.n_roots, 0)::BIGINT AS n_roots, coalesce(same, 0) = 0 AS alternates, actors_known, c.dag_id IS NULL AND coalesce(same, 0) = 0 AND actors_known AS ok FROM g LEFT JOIN c USING (dag_id) LEFT JOIN r USING (dag_id) LEFT JOIN s USING (dag_id)""")
+SELECT g.dag_id, c.dag_id IS NULL AS acyclic, coalesce(r.n_roots, 0)::BIGINT AS n_roots, coalesce(c.n_on, 0)::BIGINT AS n_on_cycle, p.n_parts AS n_components, coalesce(same, 0) = 0 AS alternates, actors_known, c.dag_id IS NULL AND p.n_parts <= 1 AND coalesce(same, 0) = 0 AND actors_known AS ok FROM g JOIN p USING (dag_id) LEFT JOIN c USING (dag_id) LEFT JOIN r USING (dag_id) LEFT JOIN s USING (dag_id)""")
 def dag_validity(spark: SparkSession, d: str) -> DataFrame:
     n, e = _dag(spark, d, Scratch(spark, "dag"))
     return G.dag_validity(hierarchy(spark, n, e, paths=False), n, e)

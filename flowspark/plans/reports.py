@@ -10,11 +10,12 @@ from flowspark.functions.vectors import normalised
 from flowspark.operators import conversations as C
 from flowspark.operators import embedding as E
 from flowspark.operators import flows as G
+from flowspark.operators import kernel as K
 from flowspark.operators import labelling as L
 from flowspark.operators import reports as R
 from flowspark.operators import segments as W
 from flowspark.operators import statistics as S
-from flowspark.plans.base import CONV
+from flowspark.plans.base import CENTROIDS, CONV, SIDES, TRIE
 from flowspark.plans.flows import _KERNEL, _NEAR, _points, _scored, _talk
 from flowspark.session import Scratch, small_broadcast
 from flowspark.sources.tables import read
@@ -51,12 +52,56 @@ def d1_min_method(spark: SparkSession, d: str) -> DataFrame:
     return W.nearest_member(talk, train).select("dialogue_id", "turn", "flow_id", "bucket", F.round("distance", 6).alias("distance"))
 
 
-@query(f"""WITH RECURSIVE {_KERNEL}, r AS (SELECT flow_id, dialogue_id % 5 AS split, CASE WHEN avg(score) FILTER (pool = 'positive') > 0 THEN avg(score) FILTER (pool = 'negative') / avg(score) FILTER (pool = 'positive') END AS ratio FROM sc GROUP BY ALL)
-SELECT flow_id, count(ratio) AS n_splits, round(avg(ratio), 6) AS mean, round(coalesce(stddev_samp(ratio), 0), 6) AS std, round(min(ratio), 6) AS least, round(max(ratio), 6) AS most FROM r GROUP BY flow_id""")
+#: Splits of the held-out runs.
+SPLITS = 10
+_HELD = f"""{CONV}, {SIDES}, i AS (SELECT dialogue_id, corpus || ':' || stratum AS stratum FROM sides), h AS (SELECT stratum, count(*) // 2 AS half FROM i GROUP BY stratum), s0 AS (SELECT i.*, r.split, md5('0-' || r.split || '-' || dialogue_id) AS h FROM i, range(0, {SPLITS}) r(split)),
+p0 AS (SELECT split, s0.stratum, dialogue_id, row_number() OVER (PARTITION BY split, s0.stratum ORDER BY s0.h, dialogue_id) AS k, half FROM s0 JOIN h USING (stratum)), g0 AS (SELECT split, h.stratum, dialogue_id, row_number() OVER (PARTITION BY split, h.stratum ORDER BY s0.h, dialogue_id) AS k, half FROM s0 JOIN h ON s0.stratum <> h.stratum),
+ms AS (SELECT stratum || '#' || split AS flow_id, dialogue_id, 'positive' AS pool FROM p0 WHERE k <= half UNION ALL SELECT stratum || '#' || split, dialogue_id, 'negative' FROM g0 WHERE k <= half),
+train AS (SELECT c.*, p0.stratum || '#' || p0.split AS flow_id, left(c.actor, 1) || ':' || c.label AS bucket FROM conv c JOIN p0 USING (dialogue_id) WHERE k > half), {TRIE}, {CENTROIDS},
+test AS (SELECT dialogue_id, CASE pool WHEN 'positive' THEN flow_id ELSE '' END AS own, '' AS corpus, flow_id FROM ms),
+""" + _KERNEL.split("WHERE s.side = 'test'),\n", 1)[1]
+
+
+def _held_out(spark: SparkSession, d: str, tmp: Scratch, dwell: float | None = None) -> DataFrame:
+    """(stratum, split, flow_id, dialogue_id, pool, n_turns, distance, score): per split, half of a stratum against the flow of its other half."""
+    t = tmp.put(C.conversations(spark, d, True))
+    items = tmp.put(C.sides(spark, d).select("dialogue_id", F.concat_ws(":", "corpus", "stratum").alias("stratum")))
+    ms = tmp.put(S.multi_split(items, "stratum", "dialogue_id", SPLITS))
+    flow = F.concat_ws("#", "stratum", "split").alias("flow_id")
+    rest = items.crossJoin(spark.range(SPLITS).select(F.col("id").cast("int").alias("split"))).join(ms.where("pool = 'positive'").select("split", "stratum", "dialogue_id"), ["split", "stratum", "dialogue_id"], "left_anti")
+    train = t.join(rest.select("dialogue_id", flow), "dialogue_id")
+    nodes, cents = tmp.put(G.trie(train)), tmp.put(G.centroids(train))
+    pairs = tmp.put(ms.select("dialogue_id", flow, "stratum", "split", "pool"))
+    x = K.flow_distances(t, nodes, cents, pairs.select("dialogue_id", "flow_id"), dwell=dwell).join(pairs, ["flow_id", "dialogue_id"])
+    return tmp.put(x.withColumn("score", F.when(F.col("n_turns") > 0, F.col("distance") / F.col("n_turns")).otherwise(F.col("distance"))))
+
+
+@query(f"""WITH RECURSIVE {_HELD}, r AS (SELECT flow_id, CASE WHEN avg(score) FILTER (pool = 'positive') > 0 THEN avg(score) FILTER (pool = 'negative') / avg(score) FILTER (pool = 'positive') END AS ratio FROM sc GROUP BY ALL)
+SELECT split_part(flow_id, '#', 1) AS stratum, count(ratio) AS n_splits, round(avg(ratio), 6) AS mean, round(coalesce(stddev_samp(ratio), 0), 6) AS std, round(min(ratio), 6) AS least, round(max(ratio), 6) AS most FROM r GROUP BY 1""")
 def multi_split_summary(spark: SparkSession, d: str) -> DataFrame:
-    s = _scored(spark, d, Scratch(spark, "scores")).withColumn("split", F.col("dialogue_id") % 5)  # five disjoint parts of the test set
-    r = R.split_summary(S.discrimination(s, "flow_id", "split"), "flow_id")
-    return r.select("flow_id", "n_splits", *[F.round(c, 6).alias(c) for c in ("mean", "std", "least", "most")])
+    """Ratios over splits, the flow of each built from the half that is held out from scoring."""
+    r = R.split_summary(S.discrimination(_held_out(spark, d, Scratch(spark, "heldout")), "stratum", "split"), "stratum")
+    return r.select("stratum", "n_splits", *[F.round(c, 6).alias(c) for c in ("mean", "std", "least", "most")])
+
+
+@query(f"WITH RECURSIVE {_HELD} SELECT split_part(flow_id, '#', 1) AS stratum, dialogue_id, count(*) AS n_splits, round(avg(score), 6) AS mean_score FROM sc WHERE pool = 'positive' GROUP BY ALL")
+def conversation_averages(spark: SparkSession, d: str) -> DataFrame:
+    """Mean held-out score of every conversation over the splits in which it was scored against its own stratum's flow."""
+    return S.averages(_held_out(spark, d, Scratch(spark, "heldout"))).withColumn("mean_score", F.round("mean_score", 6))
+
+
+@query()
+def paired_regimes(spark: SparkSession, d: str) -> DataFrame:
+    """Signed-rank comparison, per stratum, of held-out averages with and without staying on a node."""
+    tmp = Scratch(spark, "regimes")
+    a, b = (tmp.put(S.averages(_held_out(spark, d, tmp, w)).withColumnRenamed("mean_score", "score")) for w in (None, 0.25))
+    rows = None
+    for (stratum,) in a.select("stratum").distinct().orderBy("stratum").collect():  # strata are few
+        own = lambda x: x.where(F.col("stratum") == stratum).select("dialogue_id", "score")  # noqa: E731, B023
+        r = S.paired(own(a), own(b), "dialogue_id").withColumn("stratum", F.lit(stratum))
+        rows = r if rows is None else rows.unionByName(r)
+    w = tmp.put(rows) if rows is not None else spark.createDataFrame([], "n long, median_diff double, w_plus double, w_minus double, n_ranked long, tie_term long, stratum string")
+    return S.paired_p(w).select("stratum", "n", *[F.round(c, 9).alias(c) for c in ("median_diff", "w_plus", "w_minus", "p_less", "p_greater", "p_two_sided")])
 
 
 @query(f"""WITH RECURSIVE {_KERNEL}, b AS (SELECT flow_id, n_turns // 3 AS bin, count(*) FILTER (pool = 'positive') AS np, count(*) FILTER (pool = 'negative') AS nq, sum(score) FILTER (pool = 'positive') AS sp, avg(score) FILTER (pool = 'negative') AS mq FROM sc GROUP BY ALL),
@@ -113,7 +158,10 @@ def budget_stability(spark: SparkSession, d: str) -> DataFrame:
     return R.budget_stability(tmp.put(rows), "g")
 
 
-@query()
+@query(f"""WITH {CONV}, {SIDES}, t AS (SELECT dialogue_id, actor, actor || ':' || label AS label, list_transform(vector, lambda y: y / sqrt(list_dot_product(vector, vector))) AS v FROM conv WHERE vector IS NOT NULL AND label <> 'unknown' AND list_dot_product(vector, vector) > 0),
+x AS (SELECT t.*, s.side FROM t JOIN sides s USING (dialogue_id)), m AS (SELECT label, i, avg(v[i]) AS m FROM x, range(1, 97) r(i) WHERE side = 'train' GROUP BY ALL), c0 AS (SELECT label, list(m ORDER BY i) AS v FROM m GROUP BY label), ce AS (SELECT label, split_part(label, ':', 1) AS actor, list_transform(v, lambda y: y / sqrt(list_dot_product(v, v))) AS v FROM c0),
+te AS (SELECT actor, label, v FROM x WHERE side = 'test'), p AS (SELECT te.label, avg(1 - list_dot_product(te.v, ce.v)) AS pos FROM te JOIN ce USING (label) GROUP BY 1), q AS (SELECT ce.label, avg(1 - list_dot_product(te.v, ce.v)) AS neg FROM te JOIN ce USING (actor) WHERE te.label <> ce.label GROUP BY 1)
+SELECT label, round(pos, 6) AS pos, round(neg, 6) AS neg, round(neg - pos, 6) AS gap, neg - pos >= 0.2 AS passed FROM p JOIN q USING (label)""")
 def embedding_gate(spark: SparkSession, d: str) -> DataFrame:
     """Per actor and label of training turns: mean distance of test turns with and without the label to the label's centre."""
     tmp = Scratch(spark, "gate")
@@ -124,4 +172,4 @@ def embedding_gate(spark: SparkSession, d: str) -> DataFrame:
     centre = tmp.put(centre)
     test = x.where("side = 'test'").select("actor", "label", "vector")
     other = test.select("actor", F.col("label").alias("own"), "vector").join(small_broadcast(centre.select("label", F.split("label", ":")[0].alias("actor"))), "actor").where("label <> own").select("label", "vector")
-    return E.embedding_gate(centre, test.select("label", "vector"), other)
+    return E.embedding_gate(centre, test.select("label", "vector"), other).select("label", *[F.round(c, 6).alias(c) for c in ("pos", "neg", "gap")], "passed")

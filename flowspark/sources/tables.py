@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowspark.session import Scratch, small_broadcast
+
 #: Speaker spellings of either side, lower case.
 USER_NAMES = ["user", "client"]
 AGENT_NAMES = ["agent", "therapist", "wizard", "assistant"]
@@ -19,12 +21,18 @@ def read(spark: SparkSession, d: str, table: str) -> DataFrame:
 def latest(df: DataFrame, key: str, *columns: str, by: str = "loaded_at") -> DataFrame:
     """One row per key with the values of its latest delivery (ties: the greatest row). Null keys are dropped.
 
-    One partially aggregated shuffle; only the named columns travel.
+    The keys delivered more than once are counted first; if they are few, rows of other keys stay where they are.
     """
     rest = [c for c in columns if c != key]
+    df = df.where(F.col(key).isNotNull()).select(key, by, *rest)
+    twice = Scratch(df.sparkSession, "deliveries").put(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key))
+    once = df.join(small_broadcast(twice), key, "left_anti").select(key, *rest)
+    return once.unionByName(_greatest(df.join(small_broadcast(twice), key, "left_semi"), key, rest, by))
+
+
+def _greatest(df: DataFrame, key: str, rest: list[str], by: str) -> DataFrame:
     return (
-        df.where(F.col(key).isNotNull())
-        .groupBy(key)
+        df.groupBy(key)
         .agg(F.max(F.struct(F.col(by).alias("_by"), *[F.col(c) for c in rest])).alias("_r"))
         .select(key, *[F.col("_r")[c].alias(c) for c in rest])
     )
