@@ -50,7 +50,9 @@ def spanning_forest(spark: SparkSession, edges: DataFrame) -> tuple[DataFrame, D
         tmp.drop(old)
         old, live = live, tmp.put(live.join(to.withColumnRenamed("root", "x"), "x").withColumn("x", F.col("new")).drop("new").join(to.withColumnRenamed("root", "y"), "y").withColumn("y", F.col("new")).drop("new").where("x <> y").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min(F.struct("a", "b")).alias("m")).select("m.a", "m.b", "x", "y"))
         tmp.drop(old)
-    return labels, tmp.put(forest) if forest is not None else live.select("a", "b")
+    forest = tmp.put(forest if forest is not None else live.select("a", "b"))
+    tmp.only(labels, forest)
+    return labels, forest
 
 
 def tv_groups(spark: SparkSession, d: str) -> DataFrame:
