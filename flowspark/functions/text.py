@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 #: Cue patterns by name, matched against lower-case text.
 CUES = {
-    "avoidance": r"\b(avoid|skip|stay away|go round)\w*",
-    "homework": r"\b(homework|sheet|task|practice)\b",
-    "exposure": r"\b(imaginal|ladder|exposure|recording|tape)\b",
-    "rating": r"\b(rate|rating|number|percent)\b",
-    "guilt": r"\b(fault|guilt|blame|should have)\w*",
-    "body": r"\b(breath|heart|chest|stomach|throat|knees)\w*",
-    "safety": r"\b(safe|danger|never safe)\w*",
+    "rating": r"\bsuds\b|distress level|0 to 100|scale of|rate (your|the)",
+    "present_tense": r"close your eyes|present tense|as if it.?s happening|bring yourself back",
+    "grounding": r"feel your feet|look around|name .{0,12}things|grounding|five senses|present moment",
+    "breathing": r"\bbreath|inhale|exhale",
+    "narrative": r"what happens next|keep going|go on|continue (with|the)",
+    "beliefs": r"what (were|was) you thinking|going through your mind|what does that (say|mean)|belief",
+    "wrap_up": r"next session|wrap up|for today|end (of|our) (the )?session|see you",
 }
 
 

@@ -214,6 +214,48 @@ def kmeans_sweep(points: DataFrame, least: int = 3, most: int = 20, seed: int =
     return spark.createDataFrame([(*r, r[0] == best) for r in rows], "k int, silhouette double, best boolean")
 
 
+def kmeans_clusters(points: DataFrame, least: int = 3, most: int = 20, seed: int = 42) -> DataFrame:
+    """(id, cluster) of points (id, vector) by k-means with the k of the best silhouette; fewer points than least + 1 are one cluster each."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    best = kmeans_sweep(points, least, most, seed).where("best").first()
+    x = points.where("vector is not null").select("id", array_to_vector("vector").alias("features"))
+    if best is None:
+        return x.select("id", (F.row_number().over(Window.orderBy("id")) - 1).cast("int").alias("cluster"))
+    return KMeans(k=best["k"], seed=seed, featuresCol="features", predictionCol="cluster").fit(x).transform(x).select("id", "cluster")
+
+
+def coverage_totals(covered: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n_nodes, n_real, n_empty, coverage_frac) of coverage(): nodes with points of their own and their share."""
+    g = covered.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_nodes"), F.count_if(~F.col("empty")).alias("n_real"), F.count_if("empty").alias("n_empty"))
+    return g.withColumn("coverage_frac", F.try_divide("n_real", "n_nodes"))
+
+
+def coverage_samples(assigned: DataFrame, texts: DataFrame, n: int = 3) -> DataFrame:
+    """(anchor, samples): the first n texts, by id, assigned to each anchor. texts: (id, text). Only the smallest n of a group are kept on the way."""
+    x = assigned.select("id", "anchor").join(texts.select("id", "text"), "id")
+    x = x.withColumn("_k", F.row_number().over(Window.partitionBy("anchor").orderBy("id"))).where(F.col("_k") <= n)
+    return x.groupBy("anchor").agg(F.sort_array(F.collect_list(F.struct("id", "text"))).alias("x")).select("anchor", F.col("x.text").alias("samples"))
+
+
+def canonical_by_cluster(labels: DataFrame, least: int = 2, most: int = 60, seed: int = 42) -> DataFrame:
+    """(label, cluster, canonical): labels (label, n, vector) clustered by k-means with the k of the best silhouette; the most frequent
+    label of a cluster (ties: the smallest) is its canonical one. Labels without a vector stay as they are. Meant for label lists."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    tmp = Scratch(labels.sparkSession, "canonical")
+    v = tmp.put(labels.where("vector is not null").select("label", "n", "vector"))
+    best = kmeans_sweep(v.select(F.col("label").alias("id"), "vector"), least, most, seed).where("best").first()
+    x = v.select("label", "n", array_to_vector("vector").alias("features"))
+    made = KMeans(k=best["k"], seed=seed, featuresCol="features", predictionCol="cluster").fit(x).transform(x).select("label", "n", "cluster") if best else v.select("label", "n", F.xxhash64("label").alias("cluster"))
+    made = tmp.put(made)
+    top = made.groupBy("cluster").agg(F.min(F.struct((-F.col("n")).alias("o"), "label")).alias("m")).select("cluster", F.col("m.label").alias("canonical"))
+    rest = labels.where("vector is null").select("label", F.lit(None).cast("long").alias("cluster"), F.col("label").alias("canonical"))
+    return made.join(top, "cluster").select("label", F.col("cluster").cast("long").alias("cluster"), "canonical").unionByName(rest)
+
+
 def representatives(points: DataFrame, n: int = 5, places: int = 9) -> DataFrame:
     """(g, id, rank): the n points of each group nearest to its unit mean. points (g, id, vector)."""
     m = mean_vectors(points, ["g"], "vector", "_m").select("g", normalised(F.col("_m")).alias("_m"))

@@ -57,6 +57,18 @@ def length_confound(scores: DataFrame, *keys: str, width: int = 3, least: int =
     return out
 
 
+def separation(means: DataFrame, places: float = 1e-9) -> DataFrame:
+    """(flow_id, own, nearest, nearest_score, gap, self_best) from the means (flow_id, stratum, mean_score) of a confusion matrix.
+
+    nearest is the other stratum with the smallest mean (ties: the smallest name); a flow is best for its own stratum if no other has a
+    smaller mean. Flows without a mean of their own or of another stratum have no row.
+    """
+    mine = F.col("stratum") == F.col("flow_id")
+    g = means.groupBy("flow_id").agg(F.max(F.when(mine, F.col("mean_score"))).alias("own"), F.min(F.when(~mine, F.struct("mean_score", "stratum"))).alias("m"))
+    g = g.where("own is not null and m is not null").select("flow_id", "own", F.col("m.stratum").alias("nearest"), F.col("m.mean_score").alias("nearest_score"))
+    return g.withColumn("gap", F.col("nearest_score") - F.col("own")).withColumn("self_best", F.col("own") <= F.col("nearest_score") + places)
+
+
 def markdown(df: DataFrame, limit: int = 200) -> str:
     """The first rows of a report as a Markdown table."""
     rows = df.limit(limit).collect()

@@ -46,6 +46,7 @@ def smoothed_runs(labels: list, min_run: int = 1) -> list[list[int]]:
 def _segment(min_run: int):
     def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("turn").reset_index(drop=True)
+        b["place"] = np.arange(len(b))
         rows = []
         for actor in ("agent", "user"):
             t = b[b["actor"] == actor].reset_index(drop=True)
@@ -55,7 +56,7 @@ def _segment(min_run: int):
                 v = [x for x in t["vector"].iloc[r] if x is not None]
                 mean = np.mean(np.array(v, np.float64), axis=0) if v else None
                 n = float(np.sqrt((mean * mean).sum())) if v else 0.0
-                rows.append((key[0], key[1], int(t["turn"].iloc[r[0]]), actor, len(r), " | ".join(t["text"].iloc[r]), None if mean is None else (mean / n if n > 0 else mean).tolist()))
+                rows.append((key[0], key[1], int(t["turn"].iloc[r[0]]), actor, len(r), f"[seg@{t['place'].iloc[r[0]]}x{len(r)}] " + " | ".join(t["text"].iloc[r]), None if mean is None else (mean / n if n > 0 else mean).tolist()))
         out = pd.DataFrame(rows, columns=["flow_id", "dialogue_id", "first_turn", "actor", "n_turns", "text", "vector"]).sort_values("first_turn", kind="stable")
         out.insert(2, "segment", np.arange(len(out)))
         return out
@@ -67,7 +68,8 @@ def segment(talk: DataFrame, centroids: DataFrame, min_run: int = 1) -> DataFram
     """Segments of each dialogue under each flow given for it: (flow_id, dialogue_id, segment, first_turn, actor, n_turns, text, vector).
 
     Turns of one actor that run through the same nearest bucket become one segment with the unit mean of their vectors; an actor
-    with fewer than two buckets keeps one segment per turn. A conversation is handled in one task.
+    with fewer than two buckets keeps one segment per turn. The text begins with the place of the first turn in the conversation and the
+    number of turns, so that equal texts stay apart. A conversation is handled in one task.
     """
     near = nearest_bucket(talk, centroids).select("flow_id", "dialogue_id", "turn", "bucket")
     n = centroids.groupBy("flow_id", "actor").agg(F.count(F.lit(1)).cast("int").alias("n_buckets"))

@@ -56,6 +56,12 @@ def discrimination(scores: DataFrame, *keys: str) -> DataFrame:
     return g.withColumn("ratio", F.when(F.col("mean_pos") > 0, F.col("mean_neg") / F.col("mean_pos"))).withColumn("gap", F.col("mean_neg") - F.col("mean_pos"))
 
 
+def moments(scores: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n, mean, std_samp, std_pop) of score; the sample deviation of one score is 0."""
+    s = F.col("score")
+    return scores.groupBy(*keys).agg(F.count(s).alias("n"), F.avg(s).alias("mean"), F.coalesce(F.nanvl(F.stddev_samp(s), F.lit(0.0)), F.lit(0.0)).alias("std_samp"), F.stddev_pop(s).alias("std_pop"))
+
+
 def mann_whitney(scores: DataFrame, *keys: str) -> DataFrame:
     """(keys, n_pos, n_neg, u, rbc, tie_term): U of the positives and rank-biserial correlation, from average ranks."""
     r = average_rank(scores.select(*keys, "pool", "score"), "score", *keys, out="rank")

@@ -13,7 +13,7 @@ from flowspark.operators import conversations as C
 from flowspark.operators import labelling as L
 from flowspark.operators import statistics as S
 from flowspark.plans.base import CONV, LATEST, SIDES
-from flowspark.session import small_broadcast
+from flowspark.session import Scratch, small_broadcast
 from flowspark.sources.tables import latest, read
 
 QUERIES: dict = {}
@@ -154,13 +154,20 @@ def phases_per_subject(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("n_phases").agg(F.count(F.lit(1)).alias("n_subjects"))
 
 
-@query(f"""WITH {CONV}, m AS (SELECT dialogue_id, min({_PHASE}) AS phase FROM dialogues GROUP BY dialogue_id), f AS (SELECT phase, min(dialogue_id) AS dialogue_id FROM m WHERE phase IS NOT NULL AND dialogue_id IN (SELECT dialogue_id FROM conv) GROUP BY phase)
-SELECT f.phase, c.turn, c.actor, c.text FROM f JOIN conv c USING (dialogue_id) WHERE c.turn < 6""")
+@query(f"""WITH {CONV}, m AS (SELECT dialogue_id, min(subject) AS subject, min({_PHASE}) AS phase FROM dialogues GROUP BY dialogue_id), o AS (SELECT * FROM m WHERE phase IS NOT NULL AND subject IS NOT NULL AND dialogue_id IN (SELECT dialogue_id FROM conv)),
+f AS (SELECT subject, phase, min(dialogue_id) AS dialogue_id FROM o WHERE subject = (SELECT min(subject) FROM o) GROUP BY subject, phase), k AS (SELECT f.subject, f.phase, c.turn, c.actor, c.text, row_number() OVER (PARTITION BY dialogue_id ORDER BY c.turn) AS k, count(*) OVER (PARTITION BY dialogue_id) AS n FROM f JOIN conv c USING (dialogue_id))
+SELECT subject, phase, turn, actor, text, greatest(n - 8, 0) AS more_turns FROM k WHERE k <= 8""")
 def transcript_sampler(spark: SparkSession, d: str) -> DataFrame:
+    """The first eight turns per phase of the first subject, with the number of further turns."""
+    from pyspark.sql import Window
+
     t = C.conversations(spark, d)
-    p = _phases(spark, d).where("phase is not null").join(t.select("dialogue_id").distinct(), "dialogue_id", "left_semi")
-    first = p.groupBy("phase").agg(F.min("dialogue_id").alias("dialogue_id"))
-    return t.join(small_broadcast(first), "dialogue_id").where("turn < 6").select("phase", "turn", "actor", "text")
+    subject = read(spark, d, "dialogues").groupBy("dialogue_id").agg(F.min("subject").alias("subject"))
+    p = Scratch(spark, "sampler").put(_phases(spark, d).join(subject, "dialogue_id").where("phase is not null and subject is not null").join(t.select("dialogue_id").distinct(), "dialogue_id", "left_semi"))
+    first = p.join(small_broadcast(p.agg(F.min("subject").alias("subject"))), "subject").groupBy("subject", "phase").agg(F.min("dialogue_id").alias("dialogue_id"))
+    w = Window.partitionBy("dialogue_id")
+    x = t.join(small_broadcast(first), "dialogue_id").withColumn("k", F.row_number().over(w.orderBy("turn"))).withColumn("n", F.count(F.lit(1)).over(w))
+    return x.where("k <= 8").select("subject", "phase", "turn", "actor", "text", F.greatest(F.col("n") - 8, F.lit(0)).alias("more_turns"))
 
 
 @query(f"WITH {CONV} SELECT dialogue_id, min(actor) AS actor, min(label) AS label, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY dialogue_id ORDER BY turn) AS run FROM (SELECT *, CASE WHEN lag(actor) OVER w = actor AND lag(label) OVER w = label THEN 0 ELSE 1 END AS new FROM conv WINDOW w AS (PARTITION BY dialogue_id ORDER BY turn))) GROUP BY dialogue_id, run")

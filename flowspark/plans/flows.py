@@ -10,6 +10,7 @@ from flowspark.operators import conversations as C
 from flowspark.operators import flows as G
 from flowspark.operators import kernel as K
 from flowspark.operators import labelling as L
+from flowspark.operators import reports as R
 from flowspark.operators import segments as W
 from flowspark.operators import statistics as S
 from flowspark.operators.diagrams import acyclic_edges, mermaid
@@ -199,6 +200,20 @@ def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
     return m.withColumn("column_min", F.col("mean_score") == F.min("mean_score").over(Window.partitionBy("stratum")))
 
 
+@query(f"""WITH RECURSIVE {_KERNEL}, m AS (SELECT flow_id, own AS stratum, round(avg(score), 6) AS s FROM sc JOIN (SELECT DISTINCT dialogue_id, own FROM test) USING (dialogue_id) GROUP BY flow_id, own), g AS (SELECT flow_id, max(s) FILTER (stratum = flow_id) AS own, min((s, stratum)) FILTER (stratum <> flow_id) AS m FROM m GROUP BY flow_id)
+SELECT flow_id, own, m[2] AS nearest, m[1] AS nearest_score, round(m[1] - own, 6) AS gap, own <= m[1] + 1e-9 AS self_best FROM g WHERE own IS NOT NULL AND m IS NOT NULL""")
+def confusion_separation(spark: SparkSession, d: str) -> DataFrame:
+    """Own and nearest other stratum of every flow of the confusion matrix."""
+    m = Scratch(spark, "confusion").put(confusion_matrix(spark, d))
+    return R.separation(m).withColumn("gap", F.round("gap", 6))
+
+
+@query(f"WITH RECURSIVE {_KERNEL} SELECT flow_id, pool, count(*) AS n, round(avg(score), 6) AS mean, round(coalesce(stddev_samp(score), 0), 6) AS std_samp, round(stddev_pop(score), 6) AS std_pop FROM sc GROUP BY flow_id, pool")
+def score_moments(spark: SparkSession, d: str) -> DataFrame:
+    m = S.moments(_scored(spark, d, Scratch(spark, "scores")), "flow_id", "pool")
+    return m.select("flow_id", "pool", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std_samp", "std_pop")])
+
+
 @query(f"""WITH RECURSIVE {_KERNEL}, p AS (SELECT dialogue_id, min(score) FILTER (pool = 'positive') AS x, avg(score) FILTER (pool = 'negative') AS y FROM sc GROUP BY dialogue_id), dd AS (SELECT round(x - y, 9) AS d FROM p WHERE x IS NOT NULL AND y IS NOT NULL),
 r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS rk FROM dd WHERE d <> 0)
 SELECT (SELECT count(*) FROM dd) AS n, (SELECT round(median(d), 6) FROM dd) AS median_diff, coalesce(sum(rk) FILTER (d > 0), 0.0::DOUBLE) AS w_plus, coalesce(sum(rk) FILTER (d < 0), 0.0::DOUBLE) AS w_minus FROM r""")
@@ -286,6 +301,21 @@ def coverage_report(spark: SparkSession, d: str) -> DataFrame:
     return L.coverage(L.assign_anchors(p, a), a).withColumn("share", F.round("share", 6))
 
 
+@query(f"WITH {_ANCHOR}, n AS (SELECT anchor, count(*) AS n FROM asg GROUP BY anchor) SELECT an.g, count(*) AS n_nodes, count(n) AS n_real, count(*) - count(n) AS n_empty, round(count(n) / count(*), 6) AS coverage_frac FROM an LEFT JOIN n USING (anchor) GROUP BY an.g")
+def coverage_totals(spark: SparkSession, d: str) -> DataFrame:
+    p, a = _points(spark, d, Scratch(spark, "anchors"))
+    return L.coverage_totals(L.coverage(L.assign_anchors(p, a), a), "g").withColumn("coverage_frac", F.round("coverage_frac", 6))
+
+
+@query(f"WITH {_ANCHOR}, k AS (SELECT anchor, id, text, row_number() OVER (PARTITION BY anchor ORDER BY id) AS k FROM asg JOIN (SELECT dialogue_id * 1000 + turn AS id, text FROM conv) USING (id)) SELECT anchor, string_agg(text, ' | ' ORDER BY id) AS samples FROM k WHERE k <= 3 GROUP BY anchor")
+def coverage_samples(spark: SparkSession, d: str) -> DataFrame:
+    """The first three texts of every anchor."""
+    tmp = Scratch(spark, "anchors")
+    p, a = _points(spark, d, tmp)
+    text = C.conversations(spark, d).select((F.col("dialogue_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return L.coverage_samples(L.assign_anchors(p, a), text).select("anchor", F.array_join("samples", " | ").alias("samples"))
+
+
 @query(f"WITH {_ANCHOR}, l AS (SELECT id, g AS actor, label, g || ':' || label AS al FROM pt) SELECT l.id, CASE WHEN t.label IS NOT NULL THEN l.al ELSE asg.anchor END AS label, t.label IS NOT NULL AS valid FROM l LEFT JOIN (SELECT DISTINCT actor, label FROM taxonomy) t ON t.actor = l.actor AND t.label = l.label LEFT JOIN asg USING (id)")
 def nearest_taxonomy_fallback(spark: SparkSession, d: str) -> DataFrame:
     tmp = Scratch(spark, "fallback")

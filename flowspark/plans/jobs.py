@@ -104,25 +104,89 @@ def graph_discrimination(spark: SparkSession, d: str, variants: dict[str, dict]
     return R.common_phase_summary(rows)
 
 
-def label_dialogues(spark: SparkSession, d: str, labeler, cache: DataFrame | None = None) -> DataFrame:
-    """(dialogue_id, turn, label, answered): whole-dialogue labelling by an injected labeler, behind a cache.
+def label_dialogues(spark: SparkSession, d: str, labeler, cache: DataFrame | None = None, mode: str = "whole", width: int = 5, stride: int = 4) -> DataFrame:
+    """(dialogue_id, turn, label, answered): labels of all turns by an injected labeler, behind a cache.
 
-    The labeler maps batches of (key, payload) to (key, response), response being one label per line. Turns it gives no valid
-    label for take the label of the nearest anchor.
+    The labeler maps batches of (key, payload) to (key, response), response being one label per line. Modes: 'whole', one call per
+    dialogue; 'agent', the same for its agent turns only, user turns being named after the next labelled agent turn; 'window', one
+    call per turn with `width` turns around it; 'chunk', one call per `width` turns every `stride`, the later one winning where they
+    overlap. Turns the labeler gives no valid label for take the label of the nearest anchor.
     """
-    from flowspark.functions.text import render_dialogue
+    from flowspark.functions.text import chunk_starts, context_window, render_dialogue
     from flowspark.plans.flows import _points
 
     tmp = Scratch(spark, "label")
     t = tmp.put(C.conversations(spark, d))
-    calls = C.packed(t).select("dialogue_id", render_dialogue(F.col("turns")).alias("payload"))
-    calls = tmp.put(calls.withColumn("key", L.cache_key(F.lit("labeler"), F.lit("whole"), F.col("payload"))))
+    packed = tmp.put(C.packed(t).select("dialogue_id", "turns"))
+    turns, n = F.col("turns"), F.size("turns")
+    every = F.sequence(F.lit(0), n - 1)
+    if mode == "whole":
+        calls = packed.select("dialogue_id", F.lit(0).alias("start"), every.alias("places"), turns.alias("part"))
+    elif mode == "agent":
+        calls = packed.select("dialogue_id", F.lit(0).alias("start"), F.filter(every, lambda i: turns[i]["actor"] == "agent").alias("places"), turns.alias("part"))
+    elif mode == "window":
+        at = packed.select("dialogue_id", "turns", F.explode(every).alias("start"))
+        calls = at.select("dialogue_id", "start", F.array("start").alias("places"), context_window(turns, F.col("start"), width).alias("part"))
+    elif mode == "chunk":
+        at = packed.select("dialogue_id", "turns", F.explode(chunk_starts(n, width, stride)).alias("start"))
+        calls = at.select("dialogue_id", "start", F.sequence("start", F.least(F.col("start") + width, n) - 1).alias("places"), F.slice("turns", F.col("start") + 1, width).alias("part"))
+    else:
+        raise ValueError(f"unknown mode: {mode}")
+    # a window's place inside its turns is part of the question
+    payload = F.concat_ws("\n", render_dialogue(F.col("part")), *[F.concat(F.lit("turn "), F.col("start").cast("string"))] * (mode == "window"))
+    calls = calls.withColumn("payload", payload)
+    calls = tmp.put(calls.select("dialogue_id", "start", "places", "payload", L.cache_key(F.lit("labeler"), F.lit(mode), F.col("payload")).alias("key")))
     known = cache if cache is not None else spark.createDataFrame([], "key string, response string")
     answer = L.cached_calls(calls.select("key", "payload"), known, labeler)
-    lines = calls.join(answer, "key").select("dialogue_id", F.posexplode(F.split("response", "\n")).alias("pos", "label"))
+    lines = calls.join(answer, "key").select("dialogue_id", "start", "places", F.posexplode(F.split("response", "\n")).alias("line", "label")).where(F.col("line") < F.size("places"))
     valid = read(spark, d, "taxonomy").select("label").distinct()
-    place = C.packed(t).select("dialogue_id", F.posexplode("turns.turn").alias("pos", "turn"))
-    replies = lines.join(small_broadcast(valid), "label", "left_semi").join(place, ["dialogue_id", "pos"])
+    place = packed.select("dialogue_id", F.posexplode("turns.turn").alias("place", "turn"))
+    replies = lines.select("dialogue_id", F.col("start").alias("pos"), F.col("places")[F.col("line")].alias("place"), "label").join(small_broadcast(valid), "label", "left_semi").join(place, ["dialogue_id", "place"]).drop("place")
     p, a = _points(spark, d, tmp)
     near = L.assign_anchors(p, a).select(F.floor(F.col("id") / 1000).alias("dialogue_id"), F.pmod("id", F.lit(1000)).cast("int").alias("turn"), F.regexp_replace("anchor", "^[a-z]+:", "").alias("anchor"))
-    return L.resolve_replies(replies, t, near)
+    got = L.resolve_replies(replies, t, near)
+    if mode != "agent":
+        return got
+    named = C.context_labels(t.drop("label").join(got, ["dialogue_id", "turn"]))
+    return named.select("dialogue_id", "turn", F.col("intent").alias("label"), (F.col("answered") & (F.col("actor") == "agent")).alias("answered"))
+
+
+def bootstrap_taxonomy(spark: SparkSession, d: str, labeler, mode: str = "cluster", cache: DataFrame | None = None, most: int = 20, samples: int = 5, limit: int = 40_000) -> DataFrame:
+    """(actor, ord, label, description): a taxonomy from the utterances by an injected labeler, behind a cache.
+
+    The labeler maps batches of (key, payload) to (key, response), response being lines 'label: description'. Modes: 'cluster', one
+    call for each cluster with its most typical texts, the first line naming it; 'single', one call per actor with evenly sampled
+    texts of about `limit` characters; 'hybrid', one call per actor with the typical texts of all its clusters. Repeated labels of an
+    actor keep the first description.
+    """
+    from flowspark.functions.prompts import numbered
+    from flowspark.functions.text import even_sample
+    from flowspark.functions.vectors import normalised
+
+    if mode not in ("cluster", "single", "hybrid"):
+        raise ValueError(f"unknown mode: {mode}")
+    tmp = Scratch(spark, "taxonomy")
+    t = tmp.put(C.conversations(spark, d, True).withColumn("id", F.col("dialogue_id") * 1000 + F.col("turn")).where("text <> ''"))
+    if mode == "single":
+        texts = even_sample(t.select("actor", "id", "text"), "actor", "id", "text", limit).groupBy("actor").agg(F.sort_array(F.collect_list(F.struct("id", "text"))).alias("x"))
+        calls = texts.select("actor", F.lit(0).alias("cluster"), F.col("x.text").alias("texts"))
+    else:
+        parts = None
+        for actor in ("agent", "user"):
+            p = tmp.put(t.where(F.col("actor") == actor).select("id", normalised(F.col("vector")).alias("vector")).where("vector is not null and not exists(vector, x -> x is null)"))
+            made = L.kmeans_clusters(p, 3, most).select("id", F.concat_ws(":", F.lit(actor), F.col("cluster").cast("string")).alias("g")).join(p, "id")
+            parts = made if parts is None else parts.unionByName(made)
+        top = L.representatives(tmp.put(parts), samples).join(t.select("id", "text"), "id")
+        texts = top.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("x")).select(F.split("g", ":")[0].alias("actor"), F.split("g", ":")[1].cast("int").alias("cluster"), F.col("x.text").alias("texts"))
+        if mode == "hybrid":
+            texts = texts.groupBy("actor").agg(F.sort_array(F.collect_list(F.struct("cluster", "texts"))).alias("x")).select("actor", F.lit(0).alias("cluster"), F.flatten("x.texts").alias("texts"))
+        calls = texts
+    calls = tmp.put(calls.withColumn("payload", F.concat(F.col("actor"), F.lit("\n"), numbered(F.col("texts")))).withColumn("key", L.cache_key(F.lit("taxonomy"), F.lit(mode), F.col("payload"))))
+    known = cache if cache is not None else spark.createDataFrame([], "key string, response string")
+    answer = L.cached_calls(calls.select("key", "payload"), known, labeler)
+    lines = calls.join(answer, "key").select("actor", "cluster", F.posexplode(F.split("response", "\n")).alias("line", "x")).where(F.trim("x") != "")
+    if mode == "cluster":
+        lines = lines.where("line = 0")
+    part = F.split("x", ":", 2)
+    found = lines.select("actor", (F.col("cluster") * 1000 + F.col("line")).alias("ord"), F.trim(part[0]).alias("label"), F.trim(F.coalesce(F.try_element_at(part, F.lit(2)), F.lit(""))).alias("description"))
+    return L.dedupe_taxonomy(found.withColumn("corpus", F.lit("new"))).drop("corpus")

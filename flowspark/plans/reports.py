@@ -62,13 +62,22 @@ test AS (SELECT dialogue_id, CASE pool WHEN 'positive' THEN flow_id ELSE '' END
 """ + _KERNEL.split("WHERE s.side = 'test'),\n", 1)[1]
 
 
-def _held_out(spark: SparkSession, d: str, tmp: Scratch, dwell: float | None = None) -> DataFrame:
-    """(stratum, split, flow_id, dialogue_id, pool, n_turns, distance, score): per split, half of a stratum against the flow of its other half."""
+#: The same once, against flows of all conversations of a stratum.
+_WITHIN = _HELD.replace(f"range(0, {SPLITS}) r(split)", "range(0, 1) r(split)").replace("JOIN p0 USING (dialogue_id) WHERE k > half)", "JOIN p0 USING (dialogue_id))")
+
+
+def _held_out(spark: SparkSession, d: str, tmp: Scratch, dwell: float | None = None, splits: int = SPLITS, held_out: bool = True) -> DataFrame:
+    """(stratum, split, flow_id, dialogue_id, pool, n_turns, distance, score): per split, half of a stratum against the flow of its other half.
+
+    Not held out, the flow is that of the whole stratum, the scored half included.
+    """
     t = tmp.put(C.conversations(spark, d, True))
     items = tmp.put(C.sides(spark, d).select("dialogue_id", F.concat_ws(":", "corpus", "stratum").alias("stratum")))
-    ms = tmp.put(S.multi_split(items, "stratum", "dialogue_id", SPLITS))
+    ms = tmp.put(S.multi_split(items, "stratum", "dialogue_id", splits))
     flow = F.concat_ws("#", "stratum", "split").alias("flow_id")
-    rest = items.crossJoin(spark.range(SPLITS).select(F.col("id").cast("int").alias("split"))).join(ms.where("pool = 'positive'").select("split", "stratum", "dialogue_id"), ["split", "stratum", "dialogue_id"], "left_anti")
+    rest = items.crossJoin(spark.range(splits).select(F.col("id").cast("int").alias("split")))
+    if held_out:
+        rest = rest.join(ms.where("pool = 'positive'").select("split", "stratum", "dialogue_id"), ["split", "stratum", "dialogue_id"], "left_anti")
     train = t.join(rest.select("dialogue_id", flow), "dialogue_id")
     nodes, cents = tmp.put(G.trie(train)), tmp.put(G.centroids(train))
     pairs = tmp.put(ms.select("dialogue_id", flow, "stratum", "split", "pool"))
@@ -90,6 +99,14 @@ def conversation_averages(spark: SparkSession, d: str) -> DataFrame:
     return S.averages(_held_out(spark, d, Scratch(spark, "heldout"))).withColumn("mean_score", F.round("mean_score", 6))
 
 
+@query(f"""WITH RECURSIVE {_WITHIN} SELECT split_part(flow_id, '#', 1) AS stratum, count(*) FILTER (pool = 'positive') AS n_pos, count(*) FILTER (pool = 'negative') AS n_neg, round(avg(score) FILTER (pool = 'positive'), 6) AS mean_pos, round(avg(score) FILTER (pool = 'negative'), 6) AS mean_neg,
+round(CASE WHEN avg(score) FILTER (pool = 'positive') > 0 THEN avg(score) FILTER (pool = 'negative') / avg(score) FILTER (pool = 'positive') END, 6) AS ratio FROM sc GROUP BY 1""")
+def in_distribution(spark: SparkSession, d: str) -> DataFrame:
+    """Half of every stratum and as many others against the flow of the whole stratum."""
+    g = S.discrimination(_held_out(spark, d, Scratch(spark, "within"), splits=1, held_out=False), "stratum")
+    return g.select("stratum", "n_pos", "n_neg", *[F.round(c, 6).alias(c) for c in ("mean_pos", "mean_neg", "ratio")])
+
+
 @query()
 def paired_regimes(spark: SparkSession, d: str) -> DataFrame:
     """Signed-rank comparison, per stratum, of held-out averages with and without staying on a node."""

@@ -101,6 +101,11 @@ def read_flows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return n, e
 
 
+def write_results(rows: DataFrame, path: str) -> None:
+    """Result rows as JSON lines, replacing an earlier run's; nulls are written, so every row has every field."""
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     """Appends call records as JSON lines."""
     rows.write.mode("append").json(path)

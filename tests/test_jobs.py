@@ -56,3 +56,40 @@ def test_labelling_falls_back(spark, tables):
     truth = got.where("not answered and turn = 3 and label = 'bye'").count()
     assert truth == 40
     assert J.align_graphs(spark, tables).agg(F.sum("n")).first()[0] == 160
+
+
+@pytest.mark.parametrize("mode", ["whole", "agent", "window", "chunk"])
+def test_label_modes(spark, tables, mode):
+    """The labeler answers every line it is shown with the line's own label."""
+
+    def labeler(batches):
+        for b in batches:
+            out = []
+            for p in b["payload"]:
+                lines = p.split("\n")
+                own = [x.split(") ")[1].split()[0] for x in lines if x.startswith("  [")]
+                if mode == "agent":
+                    own = [x.split(") ")[1].split()[0] for x in lines if "(agent)" in x]
+                if mode == "window":  # four turns, all in every window
+                    own = [own[int(lines[-1].split()[1])]]
+                out.append("\n".join(own))
+            yield pd.DataFrame({"key": b["key"], "response": out})
+
+    got = J.label_dialogues(spark, tables, labeler, mode=mode, width=4 if mode == "window" else 3, stride=2)
+    first = [(r.turn, r.label, r.answered) for r in got.where("dialogue_id = 1").orderBy("turn").collect()]
+    if mode == "agent":
+        assert first == [(0, "user_before_ask", False), (1, "ask", True), (2, "user_before_bye", False), (3, "bye", True)]
+    else:
+        assert first == [(0, "greet", True), (1, "ask", True), (2, "offer", True), (3, "bye", True)]
+
+
+@pytest.mark.parametrize("mode", ["cluster", "single", "hybrid"])
+def test_taxonomy_bootstraps(spark, tables, mode):
+    def labeler(batches):
+        for b in batches:
+            own = [dict.fromkeys(x.split(". ")[1].split()[0] for x in p.split("\n")[1:]) for p in b["payload"]]
+            yield pd.DataFrame({"key": b["key"], "response": ["\n".join(f"{x}: says {x}" for x in w) for w in own]})
+
+    got = J.bootstrap_taxonomy(spark, tables, labeler, mode, most=4)
+    labels = {(r.actor, r.label, r.description) for r in got.collect()}
+    assert labels == {(a, x, f"says {x}") for a, w in (("user", ("greet", "offer", "thank")), ("agent", ("ask", "pay", "bye"))) for x in w}

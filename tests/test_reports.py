@@ -84,3 +84,24 @@ def test_nearest_member_blocks(spark, block):
 def test_registry():
     q, s = registry.queries(), registry.oracle_sql()
     assert registry.FLAGSHIP in q and set(s) <= set(q)
+
+
+def test_separation(spark):
+    m = spark.createDataFrame([("a", "a", 0.2), ("a", "b", 0.5), ("a", "c", 0.5), ("b", "a", 0.1), ("b", "b", 0.4), ("c", "a", 0.3)], "flow_id string, stratum string, mean_score double")
+    got = {r.flow_id: (r.own, r.nearest, r.self_best) for r in R.separation(m).collect()}
+    assert got == {"a": (0.2, "b", True), "b": (0.4, "a", False)}
+
+
+def test_results_keep_nulls(spark, tmp_path):
+    from flowspark.sources.corpora import write_results
+
+    write_results(spark.createDataFrame([("x", None)], "k string, v double"), str(tmp_path / "r"))
+    assert '"v":null' in "".join(p.read_text() for p in (tmp_path / "r").glob("*.json"))
+
+
+def test_canonical_labels(spark):
+    from flowspark.operators.labelling import canonical_by_cluster
+
+    rows = [("get name", 3, [1.0, 0.0]), ("take name", 5, [0.99, 0.1]), ("ask name", 1, [0.98, -0.1]), ("bye", 2, [0.0, 1.0]), ("farewell", 1, [0.1, 0.99]), ("odd", 1, None)]
+    got = {r.label: r.canonical for r in canonical_by_cluster(spark.createDataFrame(rows, "label string, n long, vector array<double>")).collect()}
+    assert got == {"get name": "take name", "take name": "take name", "ask name": "take name", "bye": "bye", "farewell": "bye", "odd": "odd"}
