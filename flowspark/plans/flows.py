@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.functions.vectors import average_rank, cosine_distance
+from flowspark.functions.vectors import cosine_distance, normalised
 from flowspark.operators import conversations as C
 from flowspark.operators import flows as G
 from flowspark.operators import kernel as K
