@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowspark.session import Scratch
-from flowspark.sources.tables import canonical_name, read, squashed
+from flowspark.sources.tables import read, squashed
 
 #: Spellings (squashed) of client references that name nobody.
 PLACEHOLDERS = ["", "unknown", "na", "cl000000"]
