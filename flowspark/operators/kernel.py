@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowspark.session import Scratch
+
 #: Cost of an impossible substitution, and the constant edit costs.
 IMPOSSIBLE, INSERTION, DELETION, ALPHA = 1e9, 1.0, 1.0, 0.5
 EPSILON = 1e-9
@@ -176,3 +178,63 @@ def flow_distances(talk: DataFrame, nodes: DataFrame, centroids: DataFrame, pair
     parts = sized.select("flow_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     right = n.unionByName(b).join(parts, "flow_id")
     return left.groupBy("flow_id", "part").cogroup(right.groupBy("flow_id", "part")).applyInPandas(_score_block(dwell, alpha), "flow_id string, dialogue_id long, n_turns long, distance double")
+
+
+class Paths:
+    """Distinct label sequences as a prefix tree, level by level, so that shared beginnings are compared once."""
+
+    def __init__(self, paths: list[list[str]]):
+        self.number: dict[str, int] = {}
+        at: dict[tuple[int, int], int] = {}
+        here = [(tuple(self.number.setdefault(x, len(self.number)) for x in p), -1) for p in {tuple(p) for p in paths}]
+        self.empty = any(not p for p, _ in here)
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # parent in the level before, label, whether a path ends
+        depth, here = 0, [x for x in here if x[0]]
+        while here:
+            at, parent, label, end, nxt = {}, [], [], [], []
+            for p, up in here:
+                k = at.setdefault((up, p[depth]), len(at))
+                if k == len(parent):
+                    parent.append(max(up, 0))
+                    label.append(p[depth])
+                    end.append(False)
+                if len(p) == depth + 1:
+                    end[k] = True
+                else:
+                    nxt.append((p, k))
+            self.levels.append((np.array(parent), np.array(label), np.array(end)))
+            here, depth = nxt, depth + 1
+
+    def distance(self, labels: list[str], other: float = 2.0) -> float:
+        """Least edit distance of labels to any path: insertions and deletions cost one, another label `other`."""
+        y = np.array([self.number.get(x, -1) for x in labels], np.int64)
+        j = np.arange(len(y) + 1, dtype=np.float64)
+        table, best = j[None, :], float(len(y)) if self.empty else np.inf
+        for parent, label, end in self.levels:
+            old = table[parent]
+            a = old + DELETION
+            a[:, 1:] = np.minimum(a[:, 1:], old[:, :-1] + np.where(label[:, None] == y[None, :], 0.0, other))
+            table = np.minimum.accumulate(a - j * INSERTION, axis=1) + j * INSERTION
+            if end.any():
+                best = min(best, float(table[end, -1].min()))
+        return best
+
+
+def path_distances(sequences: DataFrame, paths: DataFrame, block: int = 1024) -> DataFrame:
+    """(flow_id, dialogue_id, distance): least edit distance of each sequence (flow_id, dialogue_id, labels) to a path (flow_id, labels) of its flow.
+
+    Flows without a path give no row. A flow's paths go to as many tasks as it has blocks of sequences.
+    """
+    sized = sequences.groupBy("flow_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("parts"))
+    left = sequences.join(sized, "flow_id").select("flow_id", F.pmod(F.xxhash64("dialogue_id"), "parts").alias("part"), "dialogue_id", "labels")
+    known = Scratch(paths.sparkSession, "paths").put(paths.select("flow_id", "labels").distinct())
+    right = known.join(sized, "flow_id").select("flow_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "labels")
+
+    def run(key: tuple, s: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if not len(s) or not len(p):
+            return pd.DataFrame(columns=["flow_id", "dialogue_id", "distance"])
+        tree = Paths([list(x) for x in p["labels"]])
+        return pd.DataFrame({"flow_id": key[0], "dialogue_id": s["dialogue_id"], "distance": [tree.distance(list(x)) for x in s["labels"]]})
+
+    by = ["flow_id", "part"]
+    return left.groupBy(by).cogroup(right.groupBy(by)).applyInPandas(run, "flow_id string, dialogue_id long, distance double")

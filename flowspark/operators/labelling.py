@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowspark.functions.vectors import cosine_distance, mean_vectors, normalised
-from flowspark.session import Scratch, small_broadcast
+from flowspark.functions.vectors import EPSILON, cosine_distance, mean_vectors, normalised
+from flowspark.session import BROADCAST_BYTES, Scratch, small_broadcast
 from flowspark.sources.tables import squashed
 
 #: Length of a taxonomy version, hexadecimal digits.
@@ -53,11 +53,38 @@ def dedupe_taxonomy(taxonomy: DataFrame) -> DataFrame:
 
 
 def assign_anchors(points: DataFrame, anchors: DataFrame, places: int = 9) -> DataFrame:
-    """(id, anchor, distance): nearest anchor of the same group; ties go to the smallest ord. points (id, g, vector), anchors (g, anchor, ord, vector)."""
-    a = small_broadcast(anchors.select("g", "anchor", "ord", F.col("vector").alias("_a")))
-    d = F.round(cosine_distance(F.col("vector"), F.col("_a")), places)
-    x = points.where("vector is not null").join(a, "g").select("id", d.alias("d"), "ord", "anchor")
-    return x.groupBy("id").agg(F.min(F.struct("d", "ord", "anchor")).alias("m")).select("id", F.col("m.anchor").alias("anchor"), F.col("m.d").alias("distance"))
+    """(id, anchor, distance): nearest anchor of the same group; ties go to the smallest ord. points (id, g, vector), anchors (g, anchor, ord, vector).
+
+    Points without a vector or without an anchor in their group have no row. Anchors of at most the broadcast limit travel with the
+    tasks, which multiply whole batches with them; more anchors are joined.
+    """
+    tmp = Scratch(points.sparkSession, "anchors")
+    a = tmp.put(anchors.select("g", "anchor", "ord", "vector"))
+    if tmp.bytes(a) > BROADCAST_BYTES:
+        d = F.round(cosine_distance(F.col("vector"), F.col("_a")), places)
+        x = points.where("vector is not null").join(a.withColumnRenamed("vector", "_a"), "g").select("id", d.alias("d"), "ord", "anchor")
+        return x.groupBy("id").agg(F.min(F.struct("d", "ord", "anchor")).alias("m")).select("id", F.col("m.anchor").alias("anchor"), F.col("m.d").alias("distance"))
+    sets = {}
+    for g, part in a.where("vector is not null").toPandas().sort_values(["ord", "anchor"], kind="stable").groupby("g"):
+        v = np.stack(part["vector"].to_numpy()).astype(np.float64)
+        sets[g] = part["anchor"].to_numpy(object), v, np.sqrt((v * v).sum(1))
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for g, part in b.groupby("g"):
+                if g not in sets:
+                    continue
+                names, v, norm = sets[g]
+                fit = part["vector"].map(lambda x, n=v.shape[1]: len(x) == n).to_numpy(bool)
+                x = np.full((len(part), v.shape[1]), np.nan)
+                if fit.any():
+                    x[fit] = np.stack(part["vector"].to_numpy()[fit]).astype(np.float64)
+                d = np.round(1 - x @ v.T / (np.sqrt((x * x).sum(1))[:, None] * norm[None, :] + EPSILON), places)
+                k = np.where(np.isnan(d), np.inf, d).argmin(1)  # the first anchor wins a tie
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "anchor": names[k], "distance": d[np.arange(len(d)), k]})
+
+    kinds = dict(points.select("id").dtypes)
+    return points.where("vector is not null").select("id", "g", "vector").mapInPandas(nearest, f"id {kinds['id']}, anchor string, distance double")
 
 
 def recentre(points: DataFrame, assigned: DataFrame, anchors: DataFrame) -> DataFrame:

@@ -407,12 +407,10 @@ def mermaid_parse(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {CONV}, {SIDES}, {TRAIN}, p AS (SELECT s.dialogue_id, s.corpus || ':' || s.stratum AS flow_id, list(left(c.actor, 1) || ':' || c.label ORDER BY turn) AS t FROM conv c JOIN sides s USING (dialogue_id) WHERE s.side = 'test' GROUP BY ALL), q AS (SELECT flow_id, dialogue_id AS path_id, list(bucket ORDER BY turn) AS path FROM train GROUP BY ALL)
 SELECT p.dialogue_id, p.flow_id, min(list_reduce([list_transform(range(0, len(t) + 1), lambda i: i::DOUBLE)] || list_transform(path, lambda x: [NULL::DOUBLE] || list_transform(t, lambda y: CASE WHEN x = y THEN 0.0::DOUBLE ELSE 2.0::DOUBLE END)), lambda o, s: list_transform(range(0, len(o)), lambda j: list_min(list_transform(range(0, j + 1), lambda k: (CASE WHEN k = 0 THEN o[1] + 1 ELSE least(o[k + 1] + 1, o[k] + s[k + 1]) END) + (j - k))))) [len(t) + 1]) AS distance FROM p JOIN q USING (flow_id) GROUP BY p.dialogue_id, p.flow_id""")
 def path_edit_distance(spark: SparkSession, d: str) -> DataFrame:
-    """Least edit distance of a test dialogue's intents to any training dialogue's of its stratum, as a higher-order expression."""
+    """Least edit distance of a test dialogue's intents to any training dialogue's of its stratum."""
     tmp = Scratch(spark, "paths")
     t, s = tmp.put(C.conversations(spark, d)), C.sides(spark, d)
     x = t.join(s, "dialogue_id").select("dialogue_id", F.concat_ws(":", "corpus", "stratum").alias("flow_id"), "side", "turn", G.bucket_name().alias("b"))
     x = tmp.put(x.groupBy("dialogue_id", "flow_id", "side").agg(F.sort_array(F.collect_list(F.struct("turn", "b"))).alias("v")).select("dialogue_id", "flow_id", "side", F.col("v.b").alias("v")))
-    paths = x.where("side = 'train'").select("flow_id", F.col("v").alias("path")).distinct()
-    j = x.where("side = 'test'").join(paths, "flow_id")
-    cost = lambda n, u: F.when(n == u, 0.0).otherwise(2.0)
-    return j.groupBy("dialogue_id", "flow_id").agg(F.min(K.edit_distance(F.col("path"), F.col("v"), cost)).alias("distance"))
+    x = x.withColumnRenamed("v", "labels")
+    return K.path_distances(x.where("side = 'test'"), x.where("side = 'train'")).select("dialogue_id", "flow_id", "distance")

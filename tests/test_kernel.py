@@ -123,3 +123,22 @@ def test_distributed_form(spark):
     p = spark.createDataFrame([(k, "f") for k in want], "dialogue_id long, flow_id string")
     got = {r.dialogue_id: r.distance for r in K.flow_distances(t, n, c, p, block=2).collect()}
     assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_path_distances(spark):
+    r = random.Random(4)
+    word = lambda: [r.choice("abc") for _ in range(r.randrange(0, 6))]
+
+    def plain(p, y):
+        old = list(range(len(y) + 1))
+        for x in p:
+            new = [old[0] + 1]
+            for k, z in enumerate(y):
+                new.append(min(old[k + 1] + 1, new[k] + 1, old[k] + (0 if x == z else 2)))
+            old = new
+        return old[-1]
+
+    paths = [(f, word()) for f in ("f", "g") for _ in range(12)]
+    seqs = [(f, i, word()) for f in ("f", "g") for i in range(15)] + [("none", 1, ["a"])]
+    got = K.path_distances(spark.createDataFrame(seqs, "flow_id string, dialogue_id long, labels array<string>"), spark.createDataFrame(paths, "flow_id string, labels array<string>"), block=4).collect()
+    assert {(r.flow_id, r.dialogue_id): r.distance for r in got} == {(f, i): min(plain(p, y) for g, p in paths if g == f) for f, i, y in seqs if f != "none"}
