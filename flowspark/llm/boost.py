@@ -22,6 +22,10 @@ class Boosted:
             self.edges.append(e)
             b[:, j] = np.searchsorted(e, x[:, j], side="left")
         size = self.bins + 1
+        # most features have one frequent bin: its sums are what the other rows of a node leave
+        usual = [int(np.bincount(b[:, j], minlength=size).argmax()) for j in range(k)]
+        rows = [np.flatnonzero(b[:, j] != usual[j]) for j in range(k)]
+        bins = [b[r, j] for j, r in enumerate(rows)]
         p = np.clip((w * y).sum() / max(w.sum(), 1e-9), 1e-4, 1 - 1e-4)
         self.base = float(np.log(p / (1 - p)))
         f = np.full(n, self.base)
@@ -34,10 +38,13 @@ class Boosted:
             for depth in range(self.depth):
                 first, count = 2**depth, 2**depth
                 best, at, cut = np.zeros(count), np.zeros(count, np.int64), np.full(count, size)
+                gn, hn = np.bincount(node - first, g, count), np.bincount(node - first, h, count)
                 for j in range(k):
-                    key = (node - first) * size + b[:, j]
-                    gs = np.bincount(key, g, count * size).reshape(count, size).cumsum(1)
-                    hs = np.bincount(key, h, count * size).reshape(count, size).cumsum(1)
+                    key = (node[rows[j]] - first) * size + bins[j]
+                    gs = np.bincount(key, g[rows[j]], count * size).reshape(count, size)
+                    hs = np.bincount(key, h[rows[j]], count * size).reshape(count, size)
+                    gs[:, usual[j]], hs[:, usual[j]] = gn - gs.sum(1), hn - hs.sum(1)
+                    gs, hs = gs.cumsum(1), hs.cumsum(1)
                     gt, ht = gs[:, -1:], hs[:, -1:]
                     gain = gs**2 / (hs + self.ridge) + (gt - gs) ** 2 / (ht - hs + self.ridge) - gt**2 / (ht + self.ridge)
                     gain[(hs < self.least / 8) | (ht - hs < self.least / 8)] = 0
