@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowspark.functions.vectors import mean_vectors, normalised
+from flowspark.functions.vectors import mean_vectors, norm, normalised
 from flowspark.session import Scratch
 
 ROOT = "__ROOT__"
@@ -57,11 +57,11 @@ def buckets(train: DataFrame) -> DataFrame:
 
 
 def centroids(train: DataFrame) -> DataFrame:
-    """(flow_id, bucket, actor, label, ord, centroid): unit mean of the vectors of a bucket's utterances; buckets without vectors have none."""
+    """(flow_id, bucket, actor, label, ord, centroid): unit mean of the vectors of a bucket's utterances; a zero mean stays zero, buckets without vectors have none."""
     m = mean_vectors(train, ["flow_id", "actor", "label"], "vector", "mean")
     first = train.groupBy("flow_id", "actor", "label").agg(F.min(F.struct("dialogue_id", "turn")).alias("first"))
     o = first.withColumn("ord", F.row_number().over(Window.partitionBy("flow_id").orderBy("first")).cast("long")).drop("first")
-    return m.join(o, ["flow_id", "actor", "label"]).select("flow_id", bucket_name().alias("bucket"), "actor", "label", "ord", normalised(F.col("mean")).alias("centroid"))
+    return m.join(o, ["flow_id", "actor", "label"]).select("flow_id", bucket_name().alias("bucket"), "actor", "label", "ord", F.when(norm(F.col("mean")) > 0, normalised(F.col("mean"))).otherwise(F.col("mean")).alias("centroid"))
 
 
 def task_flow(replies: DataFrame) -> DataFrame:

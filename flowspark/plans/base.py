@@ -18,4 +18,4 @@ trie AS (SELECT flow_id, array_to_string(s, '|') AS node, CASE WHEN len(s) = 1 T
 CENTROIDS = """ords AS (SELECT flow_id, actor, label, bucket, row_number() OVER (PARTITION BY flow_id ORDER BY min((dialogue_id, turn))) AS ord FROM train GROUP BY flow_id, actor, label, bucket),
 dims AS (SELECT flow_id, actor, label, i, avg(vector[i]) AS m FROM train, range(1, 97) r(i) WHERE vector IS NOT NULL GROUP BY ALL),
 means AS (SELECT flow_id, actor, label, list(m ORDER BY i) AS v FROM dims GROUP BY ALL),
-cent AS (SELECT o.flow_id, o.bucket, o.actor, o.label, o.ord, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS centroid FROM means JOIN ords o USING (flow_id, actor, label))"""
+cent AS (SELECT o.flow_id, o.bucket, o.actor, o.label, o.ord, list_transform(v, lambda x: CASE WHEN list_dot_product(v, v) > 0 THEN x / sqrt(list_dot_product(v, v)) ELSE x END) AS centroid FROM means JOIN ords o USING (flow_id, actor, label))"""

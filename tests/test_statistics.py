@@ -109,3 +109,9 @@ def test_shared_folder_is_wanted_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         shared_dir(Session())
+
+
+def test_zero_mean_centroid_stays_zero(spark):
+    rows = [(1, 0, "user", "a", [0.0, 0.0]), (1, 1, "agent", "b", [3.0, 4.0])]
+    train = spark.createDataFrame(rows, "dialogue_id long, turn int, actor string, label string, vector array<double>").selectExpr("'f' AS flow_id", "*")
+    assert {r.label: r.centroid for r in G.centroids(train).collect()} == {"a": [0.0, 0.0], "b": [0.6, 0.8]}
