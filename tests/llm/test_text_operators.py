@@ -108,6 +108,37 @@ def test_hot_chains_lose_no_pair(spark):
     assert len(free) > 100 and free <= limited
 
 
+def test_pairs_by_chance_are_not_written(spark, monkeypatch):
+    """Records that share a stock opening, and so chains from three places, do not become rows by pairs or by chains."""
+    r = random.Random(14)
+    stock = conversation(r, 5)
+    rows = [(i, i < 120, packed(stock + conversation(r, 7))) for i in range(180)]
+    rows.append((500, False, packed([(a, light(r, x)) for a, _, x in (y.partition("\t") for y in rows[3][2].split("\n"))])))
+    written, put = [], O.Scratch.put
+
+    def counted(self, df, path=None):
+        out = put(self, df, path)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(O.Scratch, "put", counted)
+    pairs, _ = O.overlaps(spark, spark.createDataFrame(rows, "id long, train boolean, turns string"))
+    assert {(x.a, x.b) for x in O.copied(pairs).collect()} == {(3, 500)}
+    assert max(written) <= len(rows)
+
+
+@pytest.mark.parametrize("words", [6, 8, 10, 12, 16])
+def test_copies_changed_in_every_turn_align_by_their_seeds(words):
+    r = random.Random(words)
+    base = [conversation(r, 14, words) for _ in range(300)]
+    rows = [(i, True, packed(c)) for i, c in enumerate(base)] + [(i, False, packed(replaced(r, c))) for i, c in enumerate(base)]
+    s = pd.concat(O._sketched(iter([pd.DataFrame(rows, columns=["id", "train", "turns"])])))
+    a, b = O.Block(s[s["train"]], 0), O.Block(s[~s["train"]], 1)
+    met = [(i, j, O.seeds_align(a, b, i, j)) for i, j in O.common_places(a, b, 1 << 20)]
+    assert sum(((i == j) & keep).sum() for i, j, keep in met) / 300 >= 0.95
+    assert not any(((i != j) & keep).any() for i, j, keep in met)
+
+
 def test_short_records_overlap(spark):
     r = random.Random(13)
     c = conversation(r, 4, 7)
