@@ -41,6 +41,8 @@ COSINE, JACCARD = 0.75, 0.5
 RECALL = 0.97
 #: Rows of a bucket of vectors that one task takes, buckets of a band at least (if they are not small), rows compared at once, and rows multiplied at once.
 BUCKET, SPREAD, WHOLE, STRIP = 200_000, 8, 16384, 1024
+#: Share of the rows a task takes that an average bucket has, so that only groups of copies are too large, and axes per dimension of a value at most.
+FILL, AXES = 0.4, 8
 #: Rows up to which a bucket is compared without pivots, pivots tried at once, rows of a ball, and share of the rest that balls should take.
 SMALL, PIVOTS, BALL, DENSE = 512, 128, 16, 0.1
 
@@ -72,9 +74,15 @@ def rotation(dim: int, k: int) -> np.ndarray:
     return (q * np.sign(np.diag(r))).astype(np.float32)
 
 
+@lru_cache(maxsize=256)
+def directions(dim: int, k: int, axes: int) -> np.ndarray:
+    """The first axes of the k-th rotation; more than dim are continued by those of further rotations."""
+    return np.ascontiguousarray(np.concatenate([rotation(dim, k + t * 1_000_003) for t in range(math.ceil(axes / dim))], 1)[:, :axes])
+
+
 def strongest_axis(x: np.ndarray, k: int, axes: int) -> np.ndarray:
     """Number of the strongest one, with its sign, of the first axes of each row under the k-th rotation."""
-    y = x @ rotation(x.shape[1], k)[:, :axes]
+    y = x @ directions(x.shape[1], k, axes)
     at = np.abs(y).argmax(1)
     return 2 * at + (y[np.arange(len(y)), at] < 0)
 
@@ -97,13 +105,14 @@ def agreement(dim: int, axes: int, cosine: float = COSINE, pairs: int = 20_000)
 def plan(n: int, dim: int, rows: float, least: float = COSINE) -> tuple[int, int, int]:
     """Bands, values per band, and axes per value, for n vectors in buckets of about that many rows: pairs meet with probability RECALL.
 
-    Vectors that fit into one bucket need one band without values, in which all pairs meet.
+    Vectors that fit into one bucket need one band without values, in which all pairs meet. One value of many axes needs fewer
+    bands than several values of few.
     """
     buckets = n / rows
     if buckets <= 1:
         return 1, 0, 0
-    values = max(1, math.ceil(math.log(buckets) / math.log(2 * dim) - 1e-9))
-    axes = min(dim, math.ceil(buckets ** (1 / values) / 2))
+    values = max(1, math.ceil(math.log(buckets) / math.log(2 * AXES * dim) - 1e-9))
+    axes = min(AXES * dim, math.ceil(buckets ** (1 / values) / 2))
     return max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - min(agreement(dim, axes, least) ** values, 0.9999)))), values, axes
 
 
@@ -133,8 +142,9 @@ def _components(x: np.ndarray, slack: float, least: float, level: int = 0) -> tu
         if taken < DENSE:
             break
     if len(rest) <= WHOLE:
+        y = x[rest]
         for s in range(0, len(rest), STRIP):
-            c = x[rest[s : s + STRIP]] @ x[rest[s:]].T
+            c = y[s : s + STRIP] @ y[s:].T
             i, j = np.divmod(np.flatnonzero(c >= least - slack), c.shape[1])
             keep = i < j
             i, j = i[keep], j[keep]
@@ -170,11 +180,13 @@ def linked(x: np.ndarray, y: np.ndarray, slack: float, least: float) -> tuple[np
         for t in range(0, len(y), 16 * STRIP):
             c = x[s : s + STRIP] @ y[t : t + 16 * STRIP].T
             best = c.argmax(1)
-            sure = c[np.arange(len(c)), best] >= least + slack
+            most = c[np.arange(len(c)), best]
+            sure = most >= least + slack
             i.append(np.flatnonzero(sure) + s)
             j.append(best[sure] + t)
-            p, q = np.nonzero((c >= least - slack) & ~sure[:, None])
-            oi.append(p + s)
+            left = np.flatnonzero((most >= least - slack) & ~sure)
+            p, q = np.nonzero(c[left] >= least - slack)
+            oi.append(left[p] + s)
             oj.append(q + t)
     cat = lambda z: np.concatenate(z) if z else np.zeros(0, np.int64)
     return cat(i), cat(j), (cat(oi), cat(oj))
@@ -347,7 +359,7 @@ def _hot_links(rows: DataFrame, hot: DataFrame, dim: int, least: float, tmp: Scr
 def vector_roots(spark: SparkSession, vectors: DataFrame, dim: int, least: float, tmp: Scratch, bucket: int | None = None) -> DataFrame:
     """(id, root) of the components of the verified links among (id, vector), for every usable vector's id."""
     bucket, n = bucket or BUCKET, vectors.select("id").count()
-    bands, values, axes = plan(n, dim, min(bucket, max(WHOLE, n / SPREAD)), least)
+    bands, values, axes = plan(n, dim, min(max(1, FILL * bucket), max(WHOLE, n / SPREAD)), least)
     coded = tmp.put(vectors.mapInArrow(_encode(dim, bands, values, axes), CODED))
     keys = coded.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     hot = tmp.put(keys.where(F.col("n") > bucket))

@@ -237,6 +237,33 @@ def test_pairs_meet_with_the_stated_recall(spark, monkeypatch, cosine, rows, buc
     assert got.where("size = 2 and cluster % 2 = 0 and (id = cluster or id = cluster + 1)").count() / 2000 >= 0.93
 
 
+def test_buckets_leave_room_below_the_limit(spark, monkeypatch):
+    """Vectors without hot places have no bucket that is too large for a task."""
+    x = unit(np.random.default_rng(15).standard_normal((6000, 24)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>")
+    hot, cut = [], K._hot_links
+
+    def seen(rows, keys, *rest):
+        hot.append(keys.count())
+        return cut(rows, keys, *rest)
+
+    monkeypatch.setattr(K, "_hot_links", seen)
+    K.vector_roots(spark, df, 24, K.COSINE, K.Scratch(spark, "test"), 500)
+    assert not hot
+
+
+@pytest.mark.parametrize("axes", [20, 96, 250])
+def test_bands_of_more_axes_than_dimensions_keep_the_recall(axes):
+    rng = np.random.default_rng(axes)
+    a, b = unit(rng.standard_normal((2, 4000, 96)))
+    b = unit(b - (a * b).sum(1)[:, None] * a)
+    b = K.COSINE * a + np.sqrt(1 - K.COSINE**2) * b
+    bands, values, got = K.plan(2 * axes, 96, 1)
+    assert (values, got) == (1, axes)
+    met = np.any([K.strongest_axis(a.astype(np.float32), k, axes) == K.strongest_axis(b.astype(np.float32), k, axes) for k in range(bands)], 0)
+    assert met.mean() >= K.RECALL - 0.01
+
+
 def test_components_of_a_bucket_match_all_pairs(monkeypatch):
     monkeypatch.setattr(K, "SMALL", 130)
     rng = np.random.default_rng(8)
