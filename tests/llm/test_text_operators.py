@@ -108,6 +108,17 @@ def test_hot_chains_lose_no_pair(spark):
     assert len(free) > 100 and free <= limited
 
 
+@pytest.mark.parametrize("turns", [1, 2, 4, 7])
+def test_short_records_share_chains_with_many(spark, turns):
+    """Records of which a chain from one place is asked for, all of whose chains others have as well: no limit takes them away."""
+    r = random.Random(turns)
+    base = conversation(r, turns, 12)
+    rows = [(i, i < 6, packed([(a, f"{x} {'abcdefghi'[i]}{i}") if k == turns - 1 else (a, x) for k, (a, x) in enumerate(base)])) for i in range(9)]
+    df = spark.createDataFrame(rows, "id long, train boolean, turns string")
+    for limit in (1 << 20, 20, 1):
+        assert {(x.a, x.b) for x in O.copied(O.overlaps(spark, df, limit)[0]).collect()} == {(i, j) for i in range(6) for j in range(6, 9)}
+
+
 def test_pairs_by_chance_are_not_written(spark, monkeypatch):
     """Records that share a stock opening, and so chains from three places, do not become rows by pairs or by chains."""
     r = random.Random(14)
