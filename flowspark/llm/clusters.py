@@ -42,7 +42,7 @@ RECALL = 0.97
 #: Rows of a bucket of vectors that one task takes, buckets of a band at least (if they are not small), rows compared at once, and rows multiplied at once.
 BUCKET, SPREAD, WHOLE, STRIP = 200_000, 8, 16384, 1024
 #: Share of the rows a task takes that an average bucket has, so that only groups of copies are too large, and axes per dimension of a value at most.
-FILL, AXES = 0.4, 8
+FILL, AXES = 0.25, 8
 #: Rows up to which a bucket is compared without pivots, pivots tried at once, rows of a ball, and share of the rest that balls should take.
 SMALL, PIVOTS, BALL, DENSE = 512, 128, 16, 0.1
 
