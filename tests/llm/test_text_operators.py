@@ -150,6 +150,62 @@ def test_copies_changed_in_every_turn_align_by_their_seeds(words):
     assert not any(((i != j) & keep).any() for i, j, keep in met)
 
 
+def gapped(r, c, *gaps):
+    """The turns of c with two others put in before each of the given places."""
+    out = []
+    for i, x in enumerate(c):
+        out += [*(conversation(r, 2) if i in gaps else ()), x]
+    return out
+
+
+def slipped(text):
+    return " ".join(w + "x" for w in text.split())
+
+
+def test_copies_that_share_no_chain(spark):
+    """Gaps that leave no three of four neighbours, turns that share no word pair, and word-by-word slips: what chains miss is sought by words."""
+    r = random.Random(15)
+    six, nine, short, typed, half = conversation(r, 6), conversation(r, 9), conversation(r, 6, 2), conversation(r, 8, 9), conversation(r, 7, 13)
+    rows = [(1, True, packed(six)), (2, False, packed(six[:2] + conversation(r, 2) + six[4:]))]
+    rows += [(3, True, packed(gapped(r, nine, 2, 4))), (4, False, packed(gapped(r, nine, 6, 8)))]
+    rows += [(5, True, packed(short)), (6, False, packed([(a, x.replace(" ", " so ")) for a, x in short]))]
+    rows += [(7, True, packed([("", x) for _, x in typed])), (8, False, packed([(a, slipped(x)) for a, x in typed]))]
+    rows += [(9, True, packed(half)), (10, False, packed([(a, " ".join("other" if i % 4 == 1 else w for i, w in enumerate(x.split()))) for a, x in half]))]
+    pairs, _ = O.overlaps(spark, spark.createDataFrame(rows, "id long, train boolean, turns string"))
+    assert {(x.a, x.b) for x in O.copied(pairs).collect()} == {(1, 2), (3, 4), (5, 6), (7, 8), (9, 10)}
+
+
+@pytest.mark.parametrize(("seed", "kept"), [(1, 1 << 25), (2, 1 << 25), (3, 1)])
+def test_copies_match_all_pairs(seed, kept, monkeypatch):
+    """Records of few words and turns, changed at random, against the alignment of all pairs; keeping nothing for the next record changes nothing."""
+    monkeypatch.setattr(O, "KEPT", kept)
+    r = random.Random(seed)
+
+    def turn():
+        return r.choice(["user", "agent", "agent", "user", ""]), " ".join(r.choice(["yes", "yea", "yeah", "no", "not", "note", "tone", "so"] + VOCAB[:12]) for _ in range(r.randint(1, 7)))
+
+    def changed(c):
+        c = [(a, r.choice([x, x, x, light(r, x) or x, slipped(x), turn()[1]])) for a, x in c]
+        for _ in range(r.randrange(3)):
+            i = r.randrange(len(c) + 1)
+            c[i : i + r.randrange(2)] = [] if r.random() < 0.5 and len(c) > 1 else [turn()]
+        return c or [turn()]
+
+    base = [[turn() for _ in range(r.randint(1, 11))] for _ in range(40)]
+    rows = [(i, i % 2 == 0, packed(changed(base[i // 8]))) for i in range(320)]
+    s = pd.concat(O._sketched(iter([pd.DataFrame(rows, columns=["id", "train", "turns"])])))
+    met = pd.concat(O._met(1 << 20)(iter([s])))
+    got, want = set(zip(met["a"], met["b"])), set()
+    for i, x in ((i, O.lines(t)) for i, train, t in rows if train):
+        for j, y in ((j, O.lines(t)) for j, train, t in rows if not train):
+            matched, _ = O.align(x, y)
+            if matched >= max(len(x), len(y)) * O.TURNS - 1e-9:
+                want.add((i, j))
+    assert len(got) == len(met) and len(want) > 100 and want <= got
+    texts = {i: t for i, _, t in rows}
+    assert all(O.may_align(O.Record(texts[i]), O.Record(texts[j]), O.same_turns()) for i, j in want)
+
+
 def test_short_records_overlap(spark):
     r = random.Random(13)
     c = conversation(r, 4, 7)
