@@ -22,6 +22,8 @@ from flowspark.session import Scratch
 IMPOSSIBLE, INSERTION, DELETION, ALPHA = 1e9, 1.0, 1.0, 0.5
 EPSILON = 1e-9
 ROOT = "__ROOT__"
+#: Cells of one turn that are treated at once.
+CELLS = 1 << 14
 
 
 def edit_distance(path: Column, turns: Column, cost) -> Column:
@@ -88,6 +90,7 @@ class Flow:
         self.norm = np.sqrt((self.c * self.c).sum(1))
         inner = {i for i, _ in (e for r in self.rows for e in r)}
         self.leaves = np.array([j for j in range(len(names)) if self.level[j] > 0 and j not in inner], np.int64)
+        self._steps, self.layered = None, True
         self.d2 = 1 - self.c @ self.c.T / (self.norm[:, None] * self.norm[None, :] + EPSILON) if len(buckets) else np.zeros((0, 0))
 
     def substitution(self, actors: np.ndarray, x: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
@@ -104,30 +107,82 @@ class Flow:
 
     def score(self, actors: np.ndarray, x: np.ndarray, dwell: float | None = None, alpha: float = ALPHA) -> float:
         """Distance of one conversation; its number of turns if the flow has no leaf. dwell: cost of staying on a node for another turn."""
-        n = len(actors)
+        return float(self.scores([self.substitution(actors, x, alpha)], dwell)[0])
+
+    def steps(self) -> list[tuple]:
+        """Per level: places of the parents, first edge of each child, buckets and leaves' places; in a layered flow places are those of the level before, else those of all nodes in order of level, the root being 0."""
+        if self._steps is None:
+            parts = [np.array(r, np.int64).reshape(-1, 2) for r in self.rows[1:]]
+            self.layered = all((p[:, 0] < 0).all() if k == 0 else (p[:, 0] >= 0).all() and (self.level[p[:, 0]] == k).all() for k, p in enumerate(parts))
+            at, done, out = np.zeros(len(self.level) + 1, np.int64), 1, []  # the root is the last node, at place 0
+            is_leaf = np.zeros(len(self.level), bool)
+            is_leaf[self.leaves] = True
+            for e in parts:
+                up = at[e[:, 0]]
+                order = np.lexsort((up, e[:, 1]))
+                child, first = np.unique(e[order, 1], return_index=True)
+                if len(child) == len(e):  # one parent each: children in the order of their parents, so that rows are read in order
+                    order = np.argsort(up, kind="stable")
+                    child, first = e[order, 1], None
+                at[child] = np.arange(len(child)) + (0 if self.layered else done)
+                done += len(child)
+                up = up[order]
+                out.append((up, first, self.bucket[child], np.flatnonzero(is_leaf[child])))
+            self._steps = out
+        return self._steps
+
+    def together(self) -> int:
+        """How many conversations are scored at once, so that a row of the widest level stays in a processor's cache."""
+        return max(1, min(64, CELLS // max([1, *(len(b) for _, _, b, _ in self.steps())])))
+
+    def scores(self, subs: list[np.ndarray], dwell: float | None = None) -> np.ndarray:
+        """Distances of several conversations, given their (bucket, turn) substitution costs.
+
+        A cell holds the cost less its turn number, so that an insertion costs nothing and a row is a running minimum; cells are laid
+        out by turn, conversation and node, and the nodes of a level are treated at once. No cell depends on later turns, so shorter
+        conversations run along with longer ones and are read at their own last turn.
+        """
+        size = np.array([sub.shape[1] for sub in subs], np.int64)
         if not len(self.leaves):
-            return float(n)
-        sub = self.substitution(actors, x, alpha)
-        j = np.arange(n + 1)
-        table = np.empty((len(self.level), n + 1))
-        start = j * INSERTION
-        for edges in self.rows[1:]:
-            e = np.array(edges, np.int64)
-            order = np.argsort(e[:, 1], kind="stable")
-            e = e[order]
-            child, first = np.unique(e[:, 1], return_index=True)
-            old = np.minimum.reduceat(np.where((e[:, 0] < 0)[:, None], start[None, :], table[e[:, 0]]), first, axis=0)
-            s = np.where((self.bucket[child] >= 0)[:, None], sub[self.bucket[child]] if len(sub) else IMPOSSIBLE, IMPOSSIBLE)
-            a = old + DELETION
-            a[:, 1:] = np.minimum(a[:, 1:], old[:, :-1] + s)
-            if dwell is None:
-                table[child] = np.minimum.accumulate(a - j * INSERTION, axis=1) + j * INSERTION
-            else:  # staying depends on the turn, so the row is filled from left to right
-                step = np.minimum(INSERTION, s + dwell)
-                for k in range(1, n + 1):
-                    a[:, k] = np.minimum(a[:, k], a[:, k - 1] + step[:, k - 1])
-                table[child] = a
-        return float(table[self.leaves, n].min())
+            return size.astype(np.float64)
+        n, each = int(size.max()), np.arange(len(subs))
+        steps, m = self.steps(), len(subs)
+        s = np.full((n, m, len(self.c) + 1), IMPOSSIBLE)  # the last: nodes whose bucket is unknown
+        for i, sub in enumerate(subs):
+            s[: size[i], i, : len(self.c)] = sub.T
+        stay = np.minimum(0.0, s + (dwell - INSERTION)) if dwell is not None else None
+        s -= INSERTION
+        old, best = np.zeros((n + 1, m, 1)), np.full(m, np.inf)
+        table = None if self.layered else np.zeros((n + 1, m, 1 + sum(len(b) for _, _, b, _ in steps)))
+        done = 1
+        for up, first, bucket, leaf in steps:
+            width = len(bucket)
+            new = np.empty((n + 1, m, width))
+            before = None
+            for j in range(n + 1):
+                row = old[j] if self.layered else table[j]
+                row = row.take(up, axis=1)
+                row = row if first is None else np.minimum.reduceat(row, first, axis=1)
+                a = np.add(row, DELETION, out=new[j])
+                if j:
+                    t = s[j - 1].take(bucket, axis=1)
+                    t += before
+                    np.minimum(a, t, out=a)
+                    if stay is None:
+                        np.minimum(a, new[j - 1], out=a)
+                    else:
+                        t = stay[j - 1].take(bucket, axis=1)
+                        t += new[j - 1]
+                        np.minimum(a, t, out=a)
+                before = row
+            if len(leaf):
+                best = np.minimum(best, new[size, each].take(leaf, axis=1).min(1))
+            if self.layered:
+                old = new
+            else:
+                table[:, :, done : done + width] = new
+                done += width
+        return best + size * INSERTION
 
 
 def paths_distance(paths: list[list[int]], sub: np.ndarray, n: int) -> float:
@@ -146,25 +201,38 @@ def paths_distance(paths: list[list[int]], sub: np.ndarray, n: int) -> float:
     return float(best)
 
 
-def _score_block(dwell: float | None, alpha: float):
+def _score_block(dwells: tuple[float | None, ...], alpha: float):
     def run(key: tuple, talk: pd.DataFrame, flow: pd.DataFrame) -> pd.DataFrame:
         if not len(talk) or not len(flow):
-            return pd.DataFrame(columns=["flow_id", "dialogue_id", "n_turns", "distance"])
+            return pd.DataFrame(columns=["flow_id", "dialogue_id", "n_turns", "regime", "distance"])
         b = flow[flow["kind"] == "b"].sort_values("ord")
         n = flow[flow["kind"] == "n"]
         f = Flow(list(zip(n["node"].drop_duplicates(), n.drop_duplicates("node")["bucket"])), list(zip(n["parent"], n["node"])), [(x, a, np.asarray(c if c is not None else [], np.float64)) for x, a, c in zip(b["bucket"], b["actor"], b["centroid"])])
         dim = f.c.shape[1] if len(f.c) else 1
-        rows = []
-        for i, t in talk.sort_values(["dialogue_id", "turn"]).groupby("dialogue_id", sort=False):
-            x = np.array([v if v is not None and len(v) == dim else np.zeros(dim) for v in t["vector"]], np.float64)
-            rows.append((key[0], i, len(t), f.score(t["actor"].to_numpy(object), x, dwell, alpha)))
-        return pd.DataFrame(rows, columns=["flow_id", "dialogue_id", "n_turns", "distance"])
+        talk = talk.sort_values(["dialogue_id", "turn"])
+        ids, first, size = np.unique(talk["dialogue_id"].to_numpy(), return_index=True, return_counts=True)
+        actors, vectors, dist = talk["actor"].to_numpy(object), talk["vector"].to_numpy(object), np.empty((len(dwells), len(ids)))
+        zero = np.zeros(dim)
+        order = np.argsort(size, kind="stable")  # conversations of about one length are scored together
+        for k in range(0, len(order), step := f.together()):
+            some = order[k : k + step]
+            turns = np.concatenate([np.arange(i, i + m) for i, m in zip(first[some], size[some])])
+            x = np.array([v if v is not None and len(v) == dim else zero for v in vectors[turns]], np.float64)
+            subs = np.split(f.substitution(actors[turns], x, alpha), np.cumsum(size[some])[:-1], axis=1)
+            for d, dwell in zip(dist, dwells):
+                d[some] = f.scores(subs, dwell)
+        return pd.concat([pd.DataFrame({"flow_id": key[0], "dialogue_id": ids, "n_turns": size, "regime": i, "distance": d}) for i, d in enumerate(dist)])
 
     return run
 
 
 def flow_distances(talk: DataFrame, nodes: DataFrame, centroids: DataFrame, pairs: DataFrame, block: int = 256, dwell: float | None = None, alpha: float = ALPHA) -> DataFrame:
-    """(flow_id, dialogue_id, n_turns, distance) of every pair.
+    """(flow_id, dialogue_id, n_turns, distance) of every pair, as by regime_distances()."""
+    return regime_distances(talk, nodes, centroids, pairs, (dwell,), block, alpha).drop("regime")
+
+
+def regime_distances(talk: DataFrame, nodes: DataFrame, centroids: DataFrame, pairs: DataFrame, dwells: tuple[float | None, ...], block: int = 256, alpha: float = ALPHA) -> DataFrame:
+    """(flow_id, dialogue_id, n_turns, regime, distance) of every pair, once for each of the costs of staying, by their places.
 
     talk: (dialogue_id, turn, actor, vector); nodes: (flow_id, node, parent, bucket), a node once per parent; centroids:
     (flow_id, bucket, actor, ord, centroid); pairs: (dialogue_id, flow_id). A flow goes to as many tasks as it has blocks of
@@ -177,7 +245,7 @@ def flow_distances(talk: DataFrame, nodes: DataFrame, centroids: DataFrame, pair
     b = centroids.select("flow_id", F.lit("b").alias("kind"), F.lit(None).cast("string").alias("node"), F.lit(None).cast("string").alias("parent"), "bucket", "actor", "ord", "centroid")
     parts = sized.select("flow_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     right = n.unionByName(b).join(parts, "flow_id")
-    return left.groupBy("flow_id", "part").cogroup(right.groupBy("flow_id", "part")).applyInPandas(_score_block(dwell, alpha), "flow_id string, dialogue_id long, n_turns long, distance double")
+    return left.groupBy("flow_id", "part").cogroup(right.groupBy("flow_id", "part")).applyInPandas(_score_block(dwells, alpha), "flow_id string, dialogue_id long, n_turns long, regime int, distance double")
 
 
 class Paths:

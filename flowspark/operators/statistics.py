@@ -30,8 +30,8 @@ def stratified_split(items: DataFrame, stratum: str, item: str, fraction: float
     return x.withColumn("side", F.when(F.col("_k") <= cut, "train").otherwise("test")).drop("_n", "_k")
 
 
-def multi_split(items: DataFrame, stratum: str, item: str, splits: int, seed: int = 0) -> DataFrame:
-    """(split, stratum, item, pool): per split, half of a stratum's items as positives and as many of other strata as negatives.
+def multi_split(items: DataFrame, stratum: str, item: str, splits: int, seed: int = 0, negatives: bool = True) -> DataFrame:
+    """(split, stratum, item, pool): per split, half of a stratum's items as positives and as many of other strata as negatives, unless these are not wanted.
 
     Both in an order of their own per split. An item is drawn as a negative of a stratum by the rank of its hash among all items
     of other strata; ranks come from one window per (split, stratum), the number of strata being small.
@@ -41,6 +41,8 @@ def multi_split(items: DataFrame, stratum: str, item: str, splits: int, seed: in
     h = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("split").cast("string"), F.col(item).cast("string")))
     s = s.withColumn("h", h)
     pos = s.join(n, stratum).withColumn("k", F.row_number().over(Window.partitionBy("split", stratum).orderBy("h", item))).where("k <= half").select("split", stratum, item, F.lit("positive").alias("pool"))
+    if not negatives:
+        return pos
     other = s.withColumnRenamed(stratum, "_own").join(n, F.col("_own") != F.col(stratum))
     neg = other.withColumn("k", F.row_number().over(Window.partitionBy("split", stratum).orderBy("h", item))).where("k <= half").select("split", stratum, item, F.lit("negative").alias("pool"))
     return pos.unionByName(neg)
@@ -126,15 +128,16 @@ def averages(scores: DataFrame) -> DataFrame:
     return scores.where("pool = 'positive'").groupBy("stratum", "dialogue_id").agg(F.count(F.lit(1)).alias("n_splits"), F.avg("score").alias("mean_score"))
 
 
-def paired(a: DataFrame, b: DataFrame, key: str, least: int = 5) -> DataFrame:
-    """(n, median_diff, w_plus, w_minus, n_ranked, tie_term): Wilcoxon's signed ranks of a.score - b.score over common keys, zeros
-    dropped from the ranks. Fewer than `least` common keys give no row."""
-    d = a.select(key, F.col("score").alias("x")).join(b.select(key, F.col("score").alias("y")), key).select((F.col("x") - F.col("y")).alias("d"))
-    n = d.agg(F.count(F.lit(1)).alias("n"), F.median("d").alias("median_diff")).where(F.col("n") >= least)
-    r = average_rank(d.where("d <> 0").select(F.abs("d").alias("a"), (F.col("d") > 0).alias("up"), F.lit(1).alias("g")), "a", "g")
-    w = r.agg(F.coalesce(F.sum(F.when(F.col("up"), F.col("rank"))), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.when(~F.col("up"), F.col("rank"))), F.lit(0.0)).alias("w_minus"), F.count(F.lit(1)).alias("n_ranked"))
-    t = r.groupBy("a").agg(F.count(F.lit(1)).alias("k")).agg(F.coalesce(F.sum(F.col("k") * F.col("k") * F.col("k") - F.col("k")), F.lit(0)).alias("tie_term"))
-    return n.crossJoin(w).crossJoin(t)  # one row each
+def paired(a: DataFrame, b: DataFrame, key: str, least: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, n, median_diff, w_plus, w_minus, n_ranked, tie_term): Wilcoxon's signed ranks of a.score - b.score over common keys, zeros
+    dropped from the ranks. Fewer than `least` common keys give no row. by: columns of both sides; ranks and rows are those of their values."""
+    d = a.select(*by, key, F.col("score").alias("x")).join(b.select(*by, key, F.col("score").alias("y")), [*by, key]).select(*by, (F.col("x") - F.col("y")).alias("d"))
+    n = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.median("d").alias("median_diff")).where(F.col("n") >= least)
+    r = average_rank(d.where("d <> 0").select(*by, F.abs("d").alias("a"), (F.col("d") > 0).alias("up"), F.lit(1).alias("g")), "a", *by, "g")
+    w = r.groupBy(*by).agg(F.sum(F.when(F.col("up"), F.col("rank"))).alias("w_plus"), F.sum(F.when(~F.col("up"), F.col("rank"))).alias("w_minus"), F.count(F.lit(1)).alias("n_ranked"))
+    t = r.groupBy(*by, "a").agg(F.count(F.lit(1)).alias("k")).groupBy(*by).agg(F.sum(F.col("k") * F.col("k") * F.col("k") - F.col("k")).alias("tie_term"))
+    x = n.join(w, list(by), "left").join(t, list(by), "left") if by else n.crossJoin(w).crossJoin(t)  # without by one row each
+    return x.select(*by, "n", "median_diff", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("w_plus", "w_minus")], *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_ranked", "tie_term")])
 
 
 def paired_p(w: DataFrame) -> DataFrame:

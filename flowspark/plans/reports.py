@@ -66,14 +66,15 @@ test AS (SELECT dialogue_id, CASE pool WHEN 'positive' THEN flow_id ELSE '' END
 _WITHIN = _HELD.replace(f"range(0, {SPLITS}) r(split)", "range(0, 1) r(split)").replace("JOIN p0 USING (dialogue_id) WHERE k > half)", "JOIN p0 USING (dialogue_id))")
 
 
-def _held_out(spark: SparkSession, d: str, tmp: Scratch, dwell: float | None = None, splits: int = SPLITS, held_out: bool = True) -> DataFrame:
-    """(stratum, split, flow_id, dialogue_id, pool, n_turns, distance, score): per split, half of a stratum against the flow of its other half.
+def _held_out(spark: SparkSession, d: str, tmp: Scratch, dwells: tuple[float | None, ...] = (None,), splits: int = SPLITS, held_out: bool = True, negatives: bool = True) -> DataFrame:
+    """(stratum, split, flow_id, dialogue_id, pool, n_turns, regime, distance, score): per split, half of a stratum against the flow of its other half.
 
-    Not held out, the flow is that of the whole stratum, the scored half included.
+    Not held out, the flow is that of the whole stratum, the scored half included. Without negatives only a stratum's own half is
+    scored. The regimes are the places of the costs of staying on a node.
     """
     t = tmp.put(C.conversations(spark, d, True))
     items = tmp.put(C.sides(spark, d).select("dialogue_id", F.concat_ws(":", "corpus", "stratum").alias("stratum")))
-    ms = tmp.put(S.multi_split(items, "stratum", "dialogue_id", splits))
+    ms = tmp.put(S.multi_split(items, "stratum", "dialogue_id", splits, negatives=negatives))
     flow = F.concat_ws("#", "stratum", "split").alias("flow_id")
     rest = items.crossJoin(spark.range(splits).select(F.col("id").cast("int").alias("split")))
     if held_out:
@@ -81,7 +82,7 @@ def _held_out(spark: SparkSession, d: str, tmp: Scratch, dwell: float | None = N
     train = t.join(rest.select("dialogue_id", flow), "dialogue_id")
     nodes, cents = tmp.put(G.trie(train)), tmp.put(G.centroids(train))
     pairs = tmp.put(ms.select("dialogue_id", flow, "stratum", "split", "pool"))
-    x = K.flow_distances(t, nodes, cents, pairs.select("dialogue_id", "flow_id"), dwell=dwell).join(pairs, ["flow_id", "dialogue_id"])
+    x = K.regime_distances(t, nodes, cents, pairs.select("dialogue_id", "flow_id"), dwells).join(pairs, ["flow_id", "dialogue_id"])
     return tmp.put(x.withColumn("score", F.when(F.col("n_turns") > 0, F.col("distance") / F.col("n_turns")).otherwise(F.col("distance"))))
 
 
@@ -96,7 +97,7 @@ def multi_split_summary(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_HELD} SELECT split_part(flow_id, '#', 1) AS stratum, dialogue_id, count(*) AS n_splits, round(avg(score), 6) AS mean_score FROM sc WHERE pool = 'positive' GROUP BY ALL")
 def conversation_averages(spark: SparkSession, d: str) -> DataFrame:
     """Mean held-out score of every conversation over the splits in which it was scored against its own stratum's flow."""
-    return S.averages(_held_out(spark, d, Scratch(spark, "heldout"))).withColumn("mean_score", F.round("mean_score", 6))
+    return S.averages(_held_out(spark, d, Scratch(spark, "heldout"), negatives=False)).withColumn("mean_score", F.round("mean_score", 6))
 
 
 @query(f"""WITH RECURSIVE {_WITHIN} SELECT split_part(flow_id, '#', 1) AS stratum, count(*) FILTER (pool = 'positive') AS n_pos, count(*) FILTER (pool = 'negative') AS n_neg, round(avg(score) FILTER (pool = 'positive'), 6) AS mean_pos, round(avg(score) FILTER (pool = 'negative'), 6) AS mean_neg,
@@ -111,13 +112,9 @@ def in_distribution(spark: SparkSession, d: str) -> DataFrame:
 def paired_regimes(spark: SparkSession, d: str) -> DataFrame:
     """Signed-rank comparison, per stratum, of held-out averages with and without staying on a node."""
     tmp = Scratch(spark, "regimes")
-    a, b = (tmp.put(S.averages(_held_out(spark, d, tmp, w)).withColumnRenamed("mean_score", "score")) for w in (None, 0.25))
-    rows = None
-    for (stratum,) in a.select("stratum").distinct().orderBy("stratum").collect():  # strata are few
-        own = lambda x: x.where(F.col("stratum") == stratum).select("dialogue_id", "score")  # noqa: E731, B023
-        r = S.paired(own(a), own(b), "dialogue_id").withColumn("stratum", F.lit(stratum))
-        rows = r if rows is None else rows.unionByName(r)
-    w = tmp.put(rows) if rows is not None else spark.createDataFrame([], "n long, median_diff double, w_plus double, w_minus double, n_ranked long, tie_term long, stratum string")
+    x = _held_out(spark, d, tmp, (None, 0.25), negatives=False)
+    a, b = (tmp.put(S.averages(x.where(F.col("regime") == k)).withColumnRenamed("mean_score", "score")) for k in (0, 1))
+    w = tmp.put(S.paired(a, b, "dialogue_id", by=("stratum",)))
     return S.paired_p(w).select("stratum", "n", *[F.round(c, 9).alias(c) for c in ("median_diff", "w_plus", "w_minus", "p_less", "p_greater", "p_two_sided")])
 
 

@@ -82,6 +82,18 @@ def test_random_graphs(seed):
     assert flow.score(actors, x) == pytest.approx(want, abs=1e-6)
 
 
+@pytest.mark.parametrize("shape", SHAPES)
+@pytest.mark.parametrize("dwell", [None, 0.25])
+def test_conversations_together(shape, dwell):
+    """Conversations of any lengths, scored in one pass over the flow, have the distances of one at a time."""
+    flow, nodes, edges = build(shape)
+    subs = [flow.substitution(*talk(name, seed)) for seed in range(3) for name in TALKS if TALKS[name]] + [np.zeros((len(BUCKETS), 0))]
+    got = flow.scores(subs, dwell)
+    assert got == pytest.approx([flow.scores([s], dwell)[0] for s in subs], abs=1e-12)
+    if dwell is None:
+        assert got == pytest.approx([K.paths_distance([[BUCKETS.index(b) for b in p] for p in paths(nodes, edges)], s, s.shape[1]) for s in subs], abs=1e-9)
+
+
 def test_closed_forms():
     empty = K.Flow([], [], [])
     assert empty.score(np.array(["user", "agent"], dtype=object), np.zeros((2, 1))) == 2.0
