@@ -5,18 +5,21 @@ without a turn `deletion`, a node with a turn `alpha * (d1 + d2)`, where d1 is t
 node's bucket and d2 that of the bucket to the best bucket of the turn's actor. One row of the dynamic programme is kept
 per node and taken as the element-wise minimum over its parents, so paths are never enumerated.
 
-Flows are spread with blocks of conversations: a task holds one flow and one block, and treats all nodes of one depth at
-once. The insertion chain of a row is a running minimum (new[j] = j + min over k <= j of a[k] - k).
+Flows are made ready once each and spread with blocks of conversations: a task holds a bundle of flows and one block, and
+treats all nodes of one depth at once, for as many conversations as fit a processor's cache. The insertion chain of a row is
+a running minimum (new[j] = j + min over k <= j of a[k] - k).
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.session import Scratch
+from flowspark.session import Scratch, small_broadcast
 
 #: Cost of an impossible substitution, and the constant edit costs.
 IMPOSSIBLE, INSERTION, DELETION, ALPHA = 1e9, 1.0, 1.0, 0.5
@@ -131,6 +134,20 @@ class Flow:
             self._steps = out
         return self._steps
 
+    def packed(self) -> bytes:
+        """What scores() needs, with two numbers per edge instead of names."""
+        width = np.int32 if len(self.level) < 1 << 30 else np.int64
+        small = [tuple(None if x is None else x.astype(width) for x in step) for step in self.steps()]
+        return pickle.dumps({"c": self.c, "actor": self.actor, "norm": self.norm, "d2": self.d2, "leaves": self.leaves, "layered": self.layered, "_steps": small})
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Flow:
+        """A flow from packed(), for scores() and substitution() only."""
+        f = cls.__new__(cls)
+        f.__dict__.update(pickle.loads(data))
+        f._steps = [tuple(None if x is None else x.astype(np.int64) for x in step) for step in f._steps]
+        return f
+
     def together(self) -> int:
         """How many conversations are scored at once, so that a row of the widest level stays in a processor's cache."""
         return max(1, min(64, CELLS // max([1, *(len(b) for _, _, b, _ in self.steps())])))
@@ -201,51 +218,73 @@ def paths_distance(paths: list[list[int]], sub: np.ndarray, n: int) -> float:
     return float(best)
 
 
+def _compile(key: tuple, flow: pd.DataFrame) -> pd.DataFrame:
+    b = flow[flow["kind"] == "b"].sort_values("ord")
+    n = flow[flow["kind"] == "n"]
+    one = n.drop_duplicates("node")
+    f = Flow(list(zip(one["node"], one["bucket"])), list(zip(n["parent"], n["node"])), [(x, a, np.asarray(c if c is not None else [], np.float64)) for x, a, c in zip(b["bucket"], b["actor"], b["centroid"])])
+    return pd.DataFrame([(*key, f.packed())], columns=["flow_id", "flow"])
+
+
 def _score_block(dwells: tuple[float | None, ...], alpha: float):
-    def run(key: tuple, talk: pd.DataFrame, flow: pd.DataFrame) -> pd.DataFrame:
-        if not len(talk) or not len(flow):
-            return pd.DataFrame(columns=["flow_id", "dialogue_id", "n_turns", "regime", "distance"])
-        b = flow[flow["kind"] == "b"].sort_values("ord")
-        n = flow[flow["kind"] == "n"]
-        f = Flow(list(zip(n["node"].drop_duplicates(), n.drop_duplicates("node")["bucket"])), list(zip(n["parent"], n["node"])), [(x, a, np.asarray(c if c is not None else [], np.float64)) for x, a, c in zip(b["bucket"], b["actor"], b["centroid"])])
-        dim = f.c.shape[1] if len(f.c) else 1
+    def run(key: tuple, talk: pd.DataFrame, flows: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame(columns=["flow_id", "dialogue_id", "n_turns", "regime", "distance"])]
         talk = talk.sort_values(["dialogue_id", "turn"])
         ids, first, size = np.unique(talk["dialogue_id"].to_numpy(), return_index=True, return_counts=True)
-        actors, vectors, dist = talk["actor"].to_numpy(object), talk["vector"].to_numpy(object), np.empty((len(dwells), len(ids)))
-        zero = np.zeros(dim)
-        order = np.argsort(size, kind="stable")  # conversations of about one length are scored together
-        for k in range(0, len(order), step := f.together()):
-            some = order[k : k + step]
-            turns = np.concatenate([np.arange(i, i + m) for i, m in zip(first[some], size[some])])
-            x = np.array([v if v is not None and len(v) == dim else zero for v in vectors[turns]], np.float64)
-            subs = np.split(f.substitution(actors[turns], x, alpha), np.cumsum(size[some])[:-1], axis=1)
-            for d, dwell in zip(dist, dwells):
-                d[some] = f.scores(subs, dwell)
-        return pd.concat([pd.DataFrame({"flow_id": key[0], "dialogue_id": ids, "n_turns": size, "regime": i, "distance": d}) for i, d in enumerate(dist)])
+        actors, vectors = talk["actor"].to_numpy(object), talk["vector"].to_numpy(object)
+        wanted: dict[str, list[int]] = {}
+        for i, names in enumerate(talk["flows"].to_numpy(object)[first]):
+            for name in names:
+                wanted.setdefault(name, []).append(i)
+        for name, packed in zip(flows["flow_id"], flows["flow"]):
+            mine = np.array(wanted.get(name, []), np.int64)
+            if not len(mine):
+                continue
+            f = Flow.unpacked(packed)
+            dim = f.c.shape[1] if len(f.c) else 1
+            zero = np.zeros(dim)
+            dist = np.empty((len(dwells), len(mine)))
+            order = np.argsort(size[mine], kind="stable")  # conversations of about one length are scored together
+            for k in range(0, len(order), step := f.together()):
+                some = order[k : k + step]
+                turns = np.concatenate([np.arange(i, i + m) for i, m in zip(first[mine[some]], size[mine[some]])])
+                x = np.array([v if v is not None and len(v) == dim else zero for v in vectors[turns]], np.float64)
+                subs = np.split(f.substitution(actors[turns], x, alpha), np.cumsum(size[mine[some]])[:-1], axis=1)
+                for d, dwell in zip(dist, dwells):
+                    d[some] = f.scores(subs, dwell)
+            out += [pd.DataFrame({"flow_id": name, "dialogue_id": ids[mine], "n_turns": size[mine], "regime": i, "distance": d}) for i, d in enumerate(dist)]
+        return pd.concat(out[1:] or out)
 
     return run
 
 
-def flow_distances(talk: DataFrame, nodes: DataFrame, centroids: DataFrame, pairs: DataFrame, block: int = 256, dwell: float | None = None, alpha: float = ALPHA) -> DataFrame:
+def flow_distances(talk: DataFrame, nodes: DataFrame, centroids: DataFrame, pairs: DataFrame, block: int = 1024, dwell: float | None = None, alpha: float = ALPHA) -> DataFrame:
     """(flow_id, dialogue_id, n_turns, distance) of every pair, as by regime_distances()."""
     return regime_distances(talk, nodes, centroids, pairs, (dwell,), block, alpha).drop("regime")
 
 
-def regime_distances(talk: DataFrame, nodes: DataFrame, centroids: DataFrame, pairs: DataFrame, dwells: tuple[float | None, ...], block: int = 256, alpha: float = ALPHA) -> DataFrame:
+def regime_distances(talk: DataFrame, nodes: DataFrame, centroids: DataFrame, pairs: DataFrame, dwells: tuple[float | None, ...], block: int = 1024, alpha: float = ALPHA) -> DataFrame:
     """(flow_id, dialogue_id, n_turns, regime, distance) of every pair, once for each of the costs of staying, by their places.
 
     talk: (dialogue_id, turn, actor, vector); nodes: (flow_id, node, parent, bucket), a node once per parent; centroids:
-    (flow_id, bucket, actor, ord, centroid); pairs: (dialogue_id, flow_id). A flow goes to as many tasks as it has blocks of
-    conversations of about `block`; pairs without turns have no row. A cycle in a flow is an error.
+    (flow_id, bucket, actor, ord, centroid); pairs: (dialogue_id, flow_id[, bundle]), distinct. Flows are made ready once each and
+    then hold two numbers per node. Conversations with a bundle in common (without the column, a flow) are scored in blocks of
+    about `block` pairs, to which all flows of the bundle go, and the turns of a conversation once; pairs without turns have no
+    row. A cycle in a flow is an error.
     """
-    sized = pairs.groupBy("flow_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("parts"))
-    p = pairs.join(sized, "flow_id").select("flow_id", "dialogue_id", F.pmod(F.xxhash64("dialogue_id"), "parts").alias("part"))
-    left = talk.join(p, "dialogue_id").select("flow_id", "part", "dialogue_id", "turn", "actor", "vector")
+    tmp = Scratch(talk.sparkSession, "flows")
+    if "bundle" not in pairs.columns:
+        pairs = pairs.withColumn("bundle", F.col("flow_id"))
     n = nodes.select("flow_id", F.lit("n").alias("kind"), "node", "parent", "bucket", F.lit(None).cast("string").alias("actor"), F.lit(0).cast("long").alias("ord"), F.lit(None).cast("array<double>").alias("centroid"))
     b = centroids.select("flow_id", F.lit("b").alias("kind"), F.lit(None).cast("string").alias("node"), F.lit(None).cast("string").alias("parent"), "bucket", "actor", "ord", "centroid")
-    parts = sized.select("flow_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    right = n.unionByName(b).join(parts, "flow_id")
-    return left.groupBy("flow_id", "part").cogroup(right.groupBy("flow_id", "part")).applyInPandas(_score_block(dwells, alpha), "flow_id string, dialogue_id long, n_turns long, regime int, distance double")
+    ready = tmp.put(n.unionByName(b).groupBy("flow_id").applyInPandas(_compile, "flow_id string, flow binary"))
+    sized = pairs.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("parts"), F.collect_set("flow_id").alias("flows"))  # a bundle has few flows
+    sized = small_broadcast(tmp.put(sized))
+    p = pairs.groupBy("bundle", "dialogue_id").agg(F.collect_list("flow_id").alias("flows")).join(sized.drop("flows"), "bundle").select("bundle", F.pmod(F.xxhash64("dialogue_id"), "parts").alias("part"), "dialogue_id", "flows")
+    left = talk.select("dialogue_id", "turn", "actor", "vector").join(p, "dialogue_id")
+    parts = sized.select("bundle", F.explode("flows").alias("flow_id"), "parts").select("bundle", "flow_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    right = ready.join(parts, "flow_id").select("bundle", "part", "flow_id", "flow")
+    return left.groupBy("bundle", "part").cogroup(right.groupBy("bundle", "part")).applyInPandas(_score_block(dwells, alpha), "flow_id string, dialogue_id long, n_turns long, regime int, distance double")
 
 
 class Paths:

@@ -101,7 +101,7 @@ def _scored(spark: SparkSession, d: str, tmp: Scratch, dwell: float | None = Non
     own = F.concat_ws(":", "corpus", "stratum")
     pairs = s.where("side = 'test'").select("dialogue_id", own.alias("own"), "corpus").join(flows, "corpus").select("dialogue_id", "flow_id", F.when(F.col("own") == F.col("flow_id"), "positive").otherwise("negative").alias("pool"))
     pairs = tmp.put(pairs)
-    got = K.flow_distances(t, nodes, cents, pairs, dwell=dwell)
+    got = K.flow_distances(t, nodes, cents, pairs.withColumn("bundle", F.split("flow_id", ":")[0]), dwell=dwell)
     x = got.join(pairs, ["flow_id", "dialogue_id"])
     return x.withColumn("score", F.when(F.col("n_turns") > 0, F.col("distance") / F.col("n_turns")).otherwise(F.col("distance")))
 

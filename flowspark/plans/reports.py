@@ -82,7 +82,7 @@ def _held_out(spark: SparkSession, d: str, tmp: Scratch, dwells: tuple[float | N
     train = t.join(rest.select("dialogue_id", flow), "dialogue_id")
     nodes, cents = tmp.put(G.trie(train)), tmp.put(G.centroids(train))
     pairs = tmp.put(ms.select("dialogue_id", flow, "stratum", "split", "pool"))
-    x = K.regime_distances(t, nodes, cents, pairs.select("dialogue_id", "flow_id"), dwells).join(pairs, ["flow_id", "dialogue_id"])
+    x = K.regime_distances(t, nodes, cents, pairs.select("dialogue_id", "flow_id", F.element_at(F.split("flow_id", "#"), 1).alias("bundle")), dwells).join(pairs, ["flow_id", "dialogue_id"])
     return tmp.put(x.withColumn("score", F.when(F.col("n_turns") > 0, F.col("distance") / F.col("n_turns")).otherwise(F.col("distance"))))
 
 
@@ -113,8 +113,10 @@ def paired_regimes(spark: SparkSession, d: str) -> DataFrame:
     """Signed-rank comparison, per stratum, of held-out averages with and without staying on a node."""
     tmp = Scratch(spark, "regimes")
     x = _held_out(spark, d, tmp, (None, 0.25), negatives=False)
-    a, b = (tmp.put(S.averages(x.where(F.col("regime") == k)).withColumnRenamed("mean_score", "score")) for k in (0, 1))
-    w = tmp.put(S.paired(a, b, "dialogue_id", by=("stratum",)))
+    of = lambda k: F.avg(F.when(F.col("regime") == k, F.col("score")))
+    # rounded, else the last digits of equal averages would be ranked
+    p = tmp.put(x.groupBy("stratum", "dialogue_id").agg(F.round(of(0) - of(1), 9).alias("score")))
+    w = tmp.put(S.paired(p, p.withColumn("score", F.lit(0.0)), "dialogue_id", by=("stratum",)))
     return S.paired_p(w).select("stratum", "n", *[F.round(c, 9).alias(c) for c in ("median_diff", "w_plus", "w_minus", "p_less", "p_greater", "p_two_sided")])
 
 

@@ -137,6 +137,25 @@ def test_distributed_form(spark):
     assert got == pytest.approx(want, abs=1e-6)
 
 
+def test_bundles_and_regimes(spark):
+    """Several flows of a bundle in a task, of which a conversation needs some, and two costs of staying in one pass."""
+    flows = {name: build(name) for name in ("nested", "diamond", "wide")}
+    n = spark.createDataFrame([(k, b, a, b) for k, (_, _, edges) in flows.items() for a, b in edges], "flow_id string, node string, parent string, bucket string")
+    c = spark.createDataFrame([(k, b, str(f.actor[i]), i, f.c[i].tolist()) for k, (f, _, _) in flows.items() for i, b in enumerate(BUCKETS)], "flow_id string, bucket string, actor string, ord long, centroid array<double>")
+    rows, want, pairs = [], {}, []
+    for k, name in enumerate([t for t in TALKS if TALKS[t]] * 3):
+        actors, x = talk(name, seed=k)
+        rows += [(k, j, str(a), v.tolist()) for j, (a, v) in enumerate(zip(actors, x))]
+        for flow in sorted(flows)[k % 2 :]:
+            pairs.append((k, flow, "all"))
+            want |= {(flow, k, r): flows[flow][0].score(actors, x, w) for r, w in enumerate((None, 0.25))}
+    t = spark.createDataFrame(rows, "dialogue_id long, turn int, actor string, vector array<double>")
+    p = spark.createDataFrame(pairs, "dialogue_id long, flow_id string, bundle string")
+    for x in (p, p.drop("bundle")):
+        got = {(r.flow_id, r.dialogue_id, r.regime): r.distance for r in K.regime_distances(t, n, c, x, (None, 0.25), block=4).collect()}
+        assert got == pytest.approx(want, abs=1e-9)
+
+
 def test_path_distances(spark):
     r = random.Random(4)
     word = lambda: [r.choice("abc") for _ in range(r.randrange(0, 6))]

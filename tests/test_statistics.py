@@ -115,3 +115,14 @@ def test_zero_mean_centroid_stays_zero(spark):
     rows = [(1, 0, "user", "a", [0.0, 0.0]), (1, 1, "agent", "b", [3.0, 4.0])]
     train = spark.createDataFrame(rows, "dialogue_id long, turn int, actor string, label string, vector array<double>").selectExpr("'f' AS flow_id", "*")
     assert {r.label: r.centroid for r in G.centroids(train).collect()} == {"a": [0.0, 0.0], "b": [0.6, 0.8]}
+
+
+def test_paired_by_stratum(spark):
+    """Strata compared at once give the rows of each by itself; ranks do not cross strata, equal scores leave no ranks, few keys no row."""
+    rows = [("a", i, float(i % 5), float((i * 7) % 4)) for i in range(20)] + [("b", i, float(i), float(i * i % 11)) for i in range(9)] + [("same", i, 1.0, 1.0) for i in range(6)] + [("few", i, 1.0, 2.0) for i in range(4)]
+    a, b = (spark.createDataFrame([(r[0], r[1], r[k]) for r in rows], "stratum string, id long, score double") for k in (2, 3))
+    got = {r.stratum: r for r in S.paired(a, b, "id", by=("stratum",)).collect()}
+    assert set(got) == {"a", "b", "same"}
+    for s in got:
+        assert {k: v for k, v in got[s].asDict().items() if k != "stratum"} == S.paired(a.where(a.stratum == s), b.where(b.stratum == s), "id").first().asDict()
+    assert (got["same"].n, got["same"].w_plus, got["same"].n_ranked, got["same"].tie_term) == (6, 0.0, 0, 0)
