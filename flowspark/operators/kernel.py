@@ -156,7 +156,7 @@ class Flow:
         """Distances of several conversations, given their (bucket, turn) substitution costs.
 
         A cell holds the cost less its turn number, so that an insertion costs nothing and a row is a running minimum; cells are laid
-        out by turn, conversation and node, and the nodes of a level are treated at once. No cell depends on later turns, so shorter
+        out by turn, node and conversation, so that a node's are copied at once, and the nodes of a level are treated at once. No cell depends on later turns, so shorter
         conversations run along with longer ones and are read at their own last turn.
         """
         size = np.array([sub.shape[1] for sub in subs], np.int64)
@@ -164,40 +164,40 @@ class Flow:
             return size.astype(np.float64)
         n, each = int(size.max()), np.arange(len(subs))
         steps, m = self.steps(), len(subs)
-        s = np.full((n, m, len(self.c) + 1), IMPOSSIBLE)  # the last: nodes whose bucket is unknown
+        s = np.full((n, len(self.c) + 1, m), IMPOSSIBLE)  # the last: nodes whose bucket is unknown
         for i, sub in enumerate(subs):
-            s[: size[i], i, : len(self.c)] = sub.T
+            s[: size[i], : len(self.c), i] = sub.T
         stay = np.minimum(0.0, s + (dwell - INSERTION)) if dwell is not None else None
         s -= INSERTION
-        old, best = np.zeros((n + 1, m, 1)), np.full(m, np.inf)
-        table = None if self.layered else np.zeros((n + 1, m, 1 + sum(len(b) for _, _, b, _ in steps)))
+        old, best = np.zeros((n + 1, 1, m)), np.full(m, np.inf)
+        table = None if self.layered else np.zeros((n + 1, 1 + sum(len(b) for _, _, b, _ in steps), m))
         done = 1
         for up, first, bucket, leaf in steps:
             width = len(bucket)
-            new = np.empty((n + 1, m, width))
+            new = np.empty((n + 1, width, m))
             before = None
             for j in range(n + 1):
                 row = old[j] if self.layered else table[j]
-                row = row.take(up, axis=1)
-                row = row if first is None else np.minimum.reduceat(row, first, axis=1)
+                row = row.take(up, axis=0)
+                row = row if first is None else np.minimum.reduceat(row, first, axis=0)
                 a = np.add(row, DELETION, out=new[j])
                 if j:
-                    t = s[j - 1].take(bucket, axis=1)
+                    t = s[j - 1].take(bucket, axis=0)
                     t += before
                     np.minimum(a, t, out=a)
                     if stay is None:
                         np.minimum(a, new[j - 1], out=a)
                     else:
-                        t = stay[j - 1].take(bucket, axis=1)
+                        t = stay[j - 1].take(bucket, axis=0)
                         t += new[j - 1]
                         np.minimum(a, t, out=a)
                 before = row
             if len(leaf):
-                best = np.minimum(best, new[size, each].take(leaf, axis=1).min(1))
+                best = np.minimum(best, new[size, leaf[:, None], each].min(0))
             if self.layered:
                 old = new
             else:
-                table[:, :, done : done + width] = new
+                table[:, done : done + width] = new
                 done += width
         return best + size * INSERTION
 

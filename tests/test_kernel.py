@@ -94,6 +94,19 @@ def test_conversations_together(shape, dwell):
         assert got == pytest.approx([K.paths_distance([[BUCKETS.index(b) for b in p] for p in paths(nodes, edges)], s, s.shape[1]) for s in subs], abs=1e-9)
 
 
+@pytest.mark.parametrize("shape", SHAPES)
+def test_packed_flow(shape):
+    """A flow that was made ready once and sent on gives the same distances; a node of an unknown bucket is never matched."""
+    flow, nodes, edges = build(shape)
+    gap = K.Flow([(n, n if k else "?") for k, n in enumerate(nodes)], edges, list(zip(BUCKETS, flow.actor, flow.c)))
+    for f in (flow, gap):
+        subs = [f.substitution(*talk(name)) for name in TALKS if TALKS[name]]
+        sent = K.Flow.unpacked(f.packed())
+        assert sent.scores(subs).tolist() == f.scores(subs).tolist()
+    unknown = [[-1 if p == nodes[0] else BUCKETS.index(p) for p in path] for path in paths(nodes, edges)]
+    assert gap.scores(subs) == pytest.approx([K.paths_distance(unknown, s, s.shape[1]) for s in subs], abs=1e-9)
+
+
 def test_closed_forms():
     empty = K.Flow([], [], [])
     assert empty.score(np.array(["user", "agent"], dtype=object), np.zeros((2, 1))) == 2.0
