@@ -92,7 +92,7 @@ def task_definition_flow(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str, tmp: Scratch, dwell: float | None = None) -> DataFrame:
-    """(flow_id, dialogue_id, pool, n_turns, distance, score): test conversations against all flows of their corpus."""
+    """(flow_id, dialogue_id, pool, n_turns, distance, score): test conversations against all flows of their corpus, written, as ranks read them several times."""
     t = tmp.put(C.conversations(spark, d, True))
     s = tmp.put(C.sides(spark, d))
     train = G.training_turns(t, s)
@@ -103,7 +103,7 @@ def _scored(spark: SparkSession, d: str, tmp: Scratch, dwell: float | None = Non
     pairs = tmp.put(pairs)
     got = K.flow_distances(t, nodes, cents, pairs.withColumn("bundle", F.split("flow_id", ":")[0]), dwell=dwell)
     x = got.join(pairs, ["flow_id", "dialogue_id"])
-    return x.withColumn("score", F.when(F.col("n_turns") > 0, F.col("distance") / F.col("n_turns")).otherwise(F.col("distance")))
+    return tmp.put(x.withColumn("score", F.when(F.col("n_turns") > 0, F.col("distance") / F.col("n_turns")).otherwise(F.col("distance"))))
 
 
 _KERNEL = rf"""{CONV}, {SIDES}, {TRAIN}, {TRIE}, {CENTROIDS},

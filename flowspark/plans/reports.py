@@ -150,7 +150,7 @@ def first_session_per_subject(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def bonferroni_pass(spark: SparkSession, d: str) -> DataFrame:
     tmp = Scratch(spark, "scores")
-    s = tmp.put(_scored(spark, d, tmp))
+    s = _scored(spark, d, tmp)
     p = S.mann_whitney_p(S.mann_whitney(s, "flow_id")).select("flow_id", F.col("p_less").alias("p"))
     return R.pass_count(tmp.put(p.join(S.discrimination(s, "flow_id").select("flow_id", "gap"), "flow_id")))
 

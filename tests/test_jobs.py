@@ -93,3 +93,12 @@ def test_taxonomy_bootstraps(spark, tables, mode):
     got = J.bootstrap_taxonomy(spark, tables, labeler, mode, most=4)
     labels = {(r.actor, r.label, r.description) for r in got.collect()}
     assert labels == {(a, x, f"says {x}") for a, w in (("user", ("greet", "offer", "thank")), ("agent", ("ask", "pay", "bye"))) for x in w}
+
+
+def test_scores_are_made_once(spark):
+    """Ranks read the scores several times; the plan of a rank correlation holds no scoring, the scores being written."""
+    from flowspark.plans import registry
+
+    for name in ("block_rho", "bonferroni_pass"):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapCoGroupsInPandas" not in plan
